@@ -40,7 +40,7 @@ MARKED = {"àáâãäåæ": "a", "ç": "c", "èéêë": "e", "ìíîï": "i", "
 
 N = len(LETTERS) + 1  # the letters and, as 0, anything between words
 #: Channel costs in nats.
-SUBSTITUTE, MASK, KEEP_SIGN, DROP_SIGN, SQUEEZE, JOIN = 0.5, 1.0, 2.0, 1.5, 0.3, 0.2
+SUBSTITUTE, MASK, KEEP_SIGN, DROP_SIGN, SQUEEZE, UNDOUBLE, JOIN = 0.5, 1.0, 2.0, 1.5, 0.3, 2.5, 0.2
 
 _FOLD = bytearray(range(256))
 _CODE = np.zeros(256, np.int64)
@@ -120,7 +120,7 @@ def arcs(span: bytes, i: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
         if run == 1:
             yield 1, (code,), 0.0
         else:
-            yield run, (code,), SQUEEZE * (run - 1 if run == 2 else 1)
+            yield run, (code,), UNDOUBLE if run == 2 else SQUEEZE
             yield run, (code, code), 0.0 if run == 2 else SQUEEZE
     elif c in LEET and not (c == "*" and run > 2):
         cost = MASK if c == "*" else SUBSTITUTE
