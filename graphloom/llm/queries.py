@@ -103,7 +103,8 @@ def list_events(pages: DataFrame) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.filter_captures(captures_of(pages), list_events(pages))
+    out = url_filter.filter_captures(captures_of(pages), list_events(pages))
+    return out.withColumn("fetched", F.col("fetched").cast("string"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,5 +119,8 @@ def queries():
     return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_decontamination, op4_byte_bpe, op5_robust_quality, op6_sharding, op7_simhash, op8_line_dedup, op9_url_filter, op10_language_id)}
 
 
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracle
+
+    return oracle.oracle_sql()
