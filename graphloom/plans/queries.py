@@ -230,7 +230,7 @@ def build_graph(spark, d):
 # --- micro-kernels and aggregates --------------------------------------------------------
 
 
-@query('SELECT p.p_partkey AS idx, count(l_partkey) AS "count" FROM part p LEFT JOIN lineitem ON l_partkey = p.p_partkey GROUP BY 1 UNION ALL SELECT max(p_partkey) + 1, 0 FROM part HAVING min(p_partkey) = 1 AND false UNION ALL SELECT 0, 0 FROM part HAVING min(p_partkey) > 0')
+@query("""SELECT b.i AS idx, count(l_partkey) AS "count" FROM range((SELECT max(p_partkey) + 1 FROM part)) b(i) LEFT JOIN lineitem ON l_partkey = i GROUP BY i""")
 def histogram(spark, d):
     return micro.histogram(table(spark, d, "lineitem").select(F.col("l_partkey").alias("idx")), n_ids(spark, d))
 
