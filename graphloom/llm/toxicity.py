@@ -33,7 +33,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: What a sign may stand for (fixed values).
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou",
 }
 #: Latin-1 letters with marks, and the plain letters they are read as (fixed values).
 MARKED = {"àáâãäåæ": "a", "ç": "c", "èéêë": "e", "ìíîï": "i", "ñ": "n", "òóôõöø": "o", "ùúûü": "u", "ýÿ": "y", "ß": "s"}
@@ -59,7 +59,7 @@ SUSPECT = re.compile(rb"[a-z][" + _SIGNS + rb"]|[" + _SIGNS + rb"][a-z]|([a-z])\
 SPACED = re.compile(rb"(?<![a-z0-9])(?:[a-z0-9@$!|+*][ ._\-]{1,2}){3,}[a-z0-9@$!|+*](?![a-z0-9])")
 BLANK = re.compile(rb"\s")
 #: Signs around a token that are punctuation or decoration, not letters.
-_EDGE = re.compile(rb"^(?:[^a-z0-9@$!|+*(]|([@$!|+*(])\1+)+|(?:[^a-z0-9@$]|([@$])\2\2+)+$")
+_EDGE = re.compile(rb"^(?:[^a-z0-9@$!|+*]|([@$!|+*])\1+)+|(?:[^a-z0-9@$]|([@$])\2\2+)+$")
 
 
 def fold(lowered: str) -> bytes:
