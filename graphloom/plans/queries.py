@@ -14,6 +14,7 @@ from ..schema import Matrix
 from ..sources import edges as edge_files
 from ..sources import mtx
 from ..streaming.histogram import windowed_histogram
+from . import apps
 from .derive import DEGREES, HALF_E, INCIDENCE, PAIRS, PART_E, SQUARE, TRIANGLES, VERTICES, incidence, part_graph, part_pairs, part_vertices, square, table, weighted
 from .loops import cut
 
@@ -550,6 +551,39 @@ def approximate_triangles(spark, d):
     return sampling.approximate_triangles(part_graph(spark, d), 0.5)
 
 
+# --- mini-apps ---------------------------------------------------------------------------
+
+
+@query()
+def app_triangles(spark, d):
+    return apps.triangle_app(spark, kron="1 3 4 5", sample=0.7)
+
+
+@query()
+def app_pagerank(spark, d):
+    return apps.pagerank_app(spark, rows=1000, nz_per_row=20)
+
+
+@query()
+def app_histogram(spark, d):
+    return apps.histogram_app(spark)
+
+
+@query()
+def app_index_gather(spark, d):
+    return apps.index_gather_app(spark)
+
+
+@query()
+def app_bfs_benchmark(spark, d):
+    return apps.traversal_benchmark(spark, 8, n_roots=2)
+
+
+@query()
+def app_sssp_benchmark(spark, d):
+    return apps.traversal_benchmark(spark, 7, kernel="sssp", n_roots=2, delta=0.1)
+
+
 # --- files and streams -------------------------------------------------------------------
 
 
