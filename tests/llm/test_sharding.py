@@ -33,11 +33,11 @@ def test_shuffles_are_uniform(spark):
     """Where a row goes has nothing to do with where it was."""
     df = sharding.document_rows(rows_of(spark, 12).repartition(3))
     seen = Counter()
-    for seed in range(60):
+    for seed in range(30):
         for r in sharding.assign(df, 3, seed).collect():
             seen[(r["doc_id"], r["shard"])] += 1
     x = np.array([[seen[(i, s)] for s in range(3)] for i in range(12)])
-    assert x.sum() == 720 and ((x - 20) ** 2 / 20).sum() < 60  # 24 degrees of freedom, p below 1e-4
+    assert x.sum() == 360 and ((x - 10) ** 2 / 10).sum() < 60  # 24 degrees of freedom, p below 1e-4
 
 
 def test_same_seed_same_deal(spark):
@@ -61,11 +61,11 @@ def test_large_populations(monkeypatch):
     monkeypatch.setattr(sharding, "_NUMPY_LIMIT", 0)
     rng = np.random.default_rng(2)
     for good, bad, n in ((6, 6, 5), (50, 3, 40), (1, 100, 50), (10**11, 10**12, 10**10)):
-        x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(1500)])
+        x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(500)])
         total, mean = good + bad, n * good / (good + bad)
         sd = (mean * bad / total * (total - n) / (total - 1)) ** 0.5
         assert max(0, n - bad) <= x.min() and x.max() <= min(good, n)
-        assert abs(x.mean() - mean) < 5 * sd / 1500**0.5 and x.std() == pytest.approx(sd, rel=0.12)
+        assert abs(x.mean() - mean) < 5 * sd / 500**0.5 and x.std() == pytest.approx(sd, rel=0.2)
 
 
 def test_odd_rows(spark):
