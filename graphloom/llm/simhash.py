@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import content_key, cut_lineage
+from .common import content_key, cut_lineage, small_side
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -186,7 +186,8 @@ def fingerprint_components(rows: DataFrame, id_col: str = "doc_id", max_cell: in
     linked = parts.withColumnRenamed("node", "fp").join(reps, "fp")
     ids = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked_ids = parts.join(ids, "component").select(F.col("node").alias("fp"), "component_id")
-    return reps.join(linked_ids, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # written, so that joins with it start from an exchange on either side and a hot fingerprint's rows can be split
+    return cut_lineage(reps.join(linked_ids, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -196,7 +197,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     repeat; null ids never name a component that has another id.
     """
     rows = cut_lineage(with_fingerprints(docs.select(id_col, text_col), text_col))
-    return rows.join(fingerprint_components(rows, id_col), "fp").select(id_col, "fp", "component_id")
+    return rows.join(small_side(fingerprint_components(rows, id_col)), "fp").select(id_col, "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -207,7 +208,7 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     same = rows.groupBy("fp", "__k1", "__k2", id_col).agg(F.count("*").alias("__n"))
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__k1"), F.col("__k2"), F.col("__n"))
     # a component without any id is one of equal or linked rows that all lack it: its links still decide
-    best = same.join(parts, "fp").groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string"))).alias("c")).agg(F.min(order).alias("w"))
+    best = same.join(small_side(parts), "fp").groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string"))).alias("c")).agg(F.min(order).alias("w"))
     winners = cut_lineage(best.select("w.__k1", "w.__k2", "w.__n"))
     kept = keyed.join(winners, ["__k1", "__k2"])
     once = kept.where("__n = 1").select(*docs.columns)
