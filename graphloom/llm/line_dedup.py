@@ -12,20 +12,22 @@ step a character.
 
 Only hashes of segments are shuffled; texts of lines are fetched for candidate
 pairs alone.  Copies of a line are merged before anything is joined, so a line that
-a third of all documents share costs no more than another.
+a third of all documents share costs no more than another.  Where many distinct
+lines share a segment, no pairs are formed: semi-joins on the segment tell which of
+them have an earlier near one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import content_key, cut_lineage, small_side
 
 EDITS = 2
 MIN_CHARS = 24
-#: Segment keys that over so many distinct lines share are joined by two segments at once.
-HOT_KEY = 128
+#: Segment keys that over so many distinct lines index give members for a semi-join instead of pairs.
+HOT_KEY = 16
 
 
 def segment_bounds(n: str, edits: int = EDITS) -> list[tuple[str, str]]:
@@ -58,12 +60,20 @@ def probe_keys(line: str = "line", n: str = "n", edits: int = EDITS) -> str:
     return f"array({', '.join(keys)})"
 
 
+def common_prefix(a: str, b: str) -> str:
+    """SQL of the number of characters that two strings begin with alike: a binary search by powers of two."""
+    length = f"least(char_length({a}), char_length({b}))"
+    grow = f"if(p + shiftleft(1, e) <= {length} and substring({a}, p + 1, shiftleft(1, e)) = substring({b}, p + 1, shiftleft(1, e)), p + shiftleft(1, e), p)"
+    return f"aggregate(sequence(length(bin({length})), 0, -1), 0, (p, e) -> {grow})"
+
+
 def edit_distance(a: str, b: str, edits: int = EDITS) -> Column:
     """Edit distance of SQL strings ``a`` (the longer or as long) and ``b`` if at most ``edits``; else some larger number.
 
-    A column of the table of distances is kept on the diagonals -edits..edits as
-    two bit vectors, where it rises and where it falls; rows above the first one
-    count as characters that never match.
+    What both begin and end with alike is cut off.  For the rest, a column of the
+    table of distances is kept on the diagonals -edits..edits as two bit vectors,
+    where it rises and where it falls; rows above the first one count as characters
+    that never match.
     """
     w = 2 * edits + 1
     full, top = (1 << w) - 1, 1 << (w - 1)
@@ -79,7 +89,18 @@ def edit_distance(a: str, b: str, edits: int = EDITS) -> Column:
     step = f"transform(transform(transform(array({column}), c -> {same}), v -> {flat}), u -> {last})[0]"
     start = f"named_struct('p', {rises}L, 'n', {falls}L, 'k', cast(size(x) - size(y) as bigint))"
     walk = f"aggregate(sequence(1, size(y)), {start}, (s, j) -> if(s.k > {edits}, s, {step}), s -> s.k)"
-    return F.expr(f"transform(array(named_struct('x', split({a}, ''), 'y', split({b}, ''))), o -> transform(array(o.x), x -> transform(array(o.y), y -> {walk})[0])[0])[0]")
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    chars = let("split(r.a, '')", "x", let("split(r.b, '')", "y", walk))
+    middle = f"if(r.b = '', cast(char_length(r.a) as bigint), {chars})"
+    back = let(common_prefix("reverse(f.a)", "reverse(f.b)"), "q", let("named_struct('a', substring(f.a, 1, char_length(f.a) - q), 'b', substring(f.b, 1, char_length(f.b) - q))", "r", middle))
+    front = let(common_prefix(a, b), "i", let(f"named_struct('a', substring({a}, i + 1), 'b', substring({b}, i + 1))", "f", back))
+    return F.expr(front)
+
+
+def letter_parity(line: str = "line") -> Column:
+    """Bits that tell which letters stand in a line an odd number of times: an edit flips two at most."""
+    odd = [f"shiftleft((char_length({line}) - char_length(replace({line}, '{c}', ''))) % 2, {i})" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123")]
+    return F.expr(" | ".join(odd))
 
 
 def lines_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -93,28 +114,58 @@ def _place(lines: DataFrame, *more: str) -> Column:
     return F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("__k1"), F.col("pos"), *more)
 
 
-def candidates(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ...) pairs of distinct lines that share a key: a the longer, or as long and either way round."""
+def _alike(odd_a: str, odd_b: str, edits: int = EDITS) -> Column:
+    """Whether letter parities allow for two lines to be within the edits."""
+    return F.bit_count(F.col(odd_a).bitwiseXOR(F.col(odd_b))) <= 2 * edits
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b, key): pairs of distinct lines that share a key, a the longer, or as long and either way round.
+
+    A key that more than HOT_KEY lines index gives no pairs but its members: one
+    row (a, null, key) for each line that probes it, those that index it included.
+    """
+    by_key = Window.partitionBy("key").orderBy("b")
     index = distinct.select(F.col("i1").alias("b"), F.explode("ix").alias("key"))
+    index = index.select("key", "b", (F.count("*").over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > HOT_KEY).alias("hot"), F.row_number().over(by_key).alias("rank"))
     probe = distinct.select(F.col("i1").alias("a"), F.explode("pr").alias("key"))
-    return probe.join(index, "key").where("a <> b").select("a", "b").distinct()
+    met = probe.join(index.where("not hot or rank = 1"), "key").where("hot or a <> b")
+    none = F.lit(None).cast("long")
+    return met.select("a", F.when(F.col("hot"), none).otherwise(F.col("b")).alias("b"), F.when(F.col("hot"), F.col("key")).otherwise(none).alias("key")).distinct()
 
 
 def near_earlier(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(i1): distinct lines that have another one within EDITS edits which first stands earlier."""
-    pairs = cut_lineage(candidates(distinct, lines))
-    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("i1")).distinct())
+    met = cut_lineage(candidates(distinct))
+    wanted = cut_lineage(met.select(F.explode(F.array("a", "b")).alias("i1")).where("i1 is not null").distinct())
     texts = lines.select("i1", "line").join(small_side(wanted, 2_000_000), "i1", "left_semi").groupBy("i1").agg(F.first("line").alias("line"))
-    order = distinct.select("i1", "first")
-    known = cut_lineage(texts.join(order, "i1"))
-    left, right = (known.select(F.col("i1").alias(x), F.col("line").alias(f"t{x}"), F.col("first").alias(f"f{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
+    known = cut_lineage(texts.join(distinct.select("i1", "first"), "i1").withColumn("odd", letter_parity()))
+    left, right = (known.select(F.col("i1").alias(x), F.col("line").alias(f"t{x}"), F.col("first").alias(f"f{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
+    both = met.where("key is null").select("a", "b").join(left, "a").join(right, "b").where(_alike("oa", "ob"))
     close = both.where(edit_distance("ta", "tb") <= EDITS)
-    return close.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("i1")).distinct()
+    found = close.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("i1"))
+    hot = met.where("key is not null").select("a", "key")
+    if not hot.isEmpty():
+        found = found.union(_near_in_hot_keys(hot, known))
+    return found.distinct()
+
+
+def _near_in_hot_keys(hot: DataFrame, known: DataFrame) -> DataFrame:
+    """The same among the members (a, key) of hot keys: semi-joins, so a group gives a row for each member at most."""
+    n = F.char_length("line").alias("n")
+    members = cut_lineage(hot.join(known.withColumnRenamed("i1", "a"), "a").select("key", "a", "line", "first", n, "odd"))
+    indexed = members.where(F.expr(f"array_contains({index_keys()}, key)"))
+    long, short = (x.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("a", "line", "first", "n", "odd")]) for x, p in ((members, "l"), (indexed, "s")))
+    like = (F.col("l_a") != F.col("s_a")) & F.col("l_n").between(F.col("s_n"), F.col("s_n") + EDITS) & _alike("l_odd", "s_odd")
+    same_key = long["key"] == short["key"]
+    far = edit_distance("l_line", "s_line") <= EDITS
+    later_long = long.join(short, same_key & like & (F.col("s_first") < F.col("l_first")) & far, "left_semi").select(F.col("l_a").alias("i1"))
+    later_short = short.join(long, same_key & like & (F.col("l_first") < F.col("s_first")) & far, "left_semi").select(F.col("s_a").alias("i1"))
+    return later_long.union(later_short)
 
 
 def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(__k1, __k2, dropped): the sorted numbers, from 0, of the lines that go from each document that loses any."""
+    """(__k1, __k2, __dropped): the sorted numbers, from 0, of the lines that go from each document that loses any."""
     lines = lines_of(docs, text_col, id_col)
     keyed = lines.select("__k1", "__k2", "id", "pos", "i1", "i2", F.expr(index_keys()).alias("ix"), F.expr(probe_keys()).alias("pr"))
     distinct = keyed.groupBy("i1", "i2").agg(F.count("*").alias("copies"), F.min(_place(keyed, "ix", "pr")).alias("first"))
@@ -123,7 +174,7 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     judged = distinct.select("i1", "i2", "copies", "first").join(near, "i1", "left").where("near or copies > 1")
     at = lines.select("__k1", "__k2", "id", "pos", "i1", "i2").join(judged, ["i1", "i2"])
     gone = at.where(F.coalesce("near", F.lit(False)) | (_place(at) != F.col("first")))
-    return gone.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    return gone.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("pos")).alias("__dropped"))
 
 
 def decide(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -135,13 +186,13 @@ def decide(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     gone = dropped_lines(docs, text_col, id_col)
     n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col), *content_key(id_col, text_col), F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).alias("n_lines"))
-    return rows.join(gone, ["__k1", "__k2"], "left").select(id_col, "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    return rows.join(gone, ["__k1", "__k2"], "left").select(id_col, "n_lines", F.coalesce("__dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the dropped lines gone from the text; every row and all other columns stay."""
     gone = dropped_lines(docs, text_col, id_col)
     keyed = docs.select("*", *content_key(id_col, text_col)).join(gone, ["__k1", "__k2"], "left")
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains(dropped, i)), '\\n')")
-    text = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(kept)
+    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains(__dropped, i)), '\\n')")
+    text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept)
     return keyed.withColumn(text_col, text).select(*docs.columns)

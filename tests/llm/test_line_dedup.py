@@ -9,11 +9,6 @@ from graphloom.llm import line_dedup
 
 
 def levenshtein(a, b):
-    """By the whole table, after cutting off what both begin with alike."""
-    same = 0
-    while same < min(len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    a, b = a[same:], b[same:]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         left = [i]
@@ -23,6 +18,17 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def within(a, b, edits):
+    """Whether ``edits`` edits are enough, by trying each kind where the strings first differ."""
+    same = 0
+    while same < min(len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    a, b = a[same:], b[same:]
+    if not a or not b:
+        return len(a) + len(b) <= edits
+    return edits > 0 and any(within(x, y, edits - 1) for x, y in ((a[1:], b[1:]), (a[1:], b), (a, b[1:])))
+
+
 def edited(rng, s, n):
     s = list(s)
     for _ in range(n):
@@ -80,7 +86,7 @@ def brute(rows):
                 first.setdefault(line, ((none, i), t, k))
     # distinct texts of one id are ordered by a hash in the operator, so tests avoid shared lines there
     lines = list(first)
-    near = {a for a in lines for b in lines if a != b and abs(len(a) - len(b)) <= 2 and first[b] < first[a] and levenshtein(a, b) <= 2}
+    near = {a for a in lines for b in lines if a != b and abs(len(a) - len(b)) <= 2 and first[b] < first[a] and within(a, b, 2)}
     out = {}
     for doc, k, line in seen:
         at = ((doc[0], doc[1]), doc[2], k)
