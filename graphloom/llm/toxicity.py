@@ -247,7 +247,8 @@ class Model:
     bias: float
 
     def score(self, x: dict[int, int], n_words: int) -> float:
-        z = self.bias + self.weights[-1] * np.log1p(n_words) + sum(self.weights[i] * np.log1p(n) for i, n in x.items())
+        # the length only puts hits into proportion: a text without any is not judged by it
+        z = self.bias + (self.weights[-1] * np.log1p(n_words) if x else 0.0) + sum(self.weights[i] * np.log1p(n) for i, n in x.items())
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -329,7 +330,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable: Column, label_col: str =
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, known = Decoder(shared.value), {}
         for batch in batches:
-            out = [_hits(w := decoder.restored((t or b"").decode("utf-8", "replace")), shared_vocabulary.value, known) | {-1: w.total()} for t in batch.column(0).to_pylist()]
+            out = []
+            for t in batch.column(0).to_pylist():
+                words = decoder.restored((t or b"").decode("utf-8", "replace"))
+                x = _hits(words, shared_vocabulary.value, known)
+                out.append(x | {-1: words.total()} if x else x)
             yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in out], pa.list_(pa.int32())), pa.array([list(x.values()) for x in out], pa.list_(pa.int64())), batch.column(1)], names=["i", "n", "y"])
 
     got = rows.mapInArrow(hits, "i array<int>, n array<long>, y int").collect()
