@@ -265,7 +265,7 @@ def _hits(words: Counter, vocabulary: dict[str, int], known: dict[str, tuple[int
     return found
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.02, rounds: int = 60) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression by Newton's method."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w, ridge = np.zeros(x1.shape[1]), np.full(x1.shape[1], l2)
