@@ -5,7 +5,8 @@ document that passes the fixed rules is then held against the minimum-covariance
 determinant estimate of its language and source: the mean and covariance of the
 ``CORE`` share of rows that lie closest together, found by concentration steps
 from the coordinatewise medians.  Rows whose squared Mahalanobis distance exceeds
-``CUTOFF`` are rejected.
+``CUTOFF`` are rejected.  A small group is held against its language, or else against
+all rows, so every row that passes the fixed rules is judged.
 
 Statistics are rounded to multiples of 1/256 and summed as whole numbers, so
 estimates do not depend on the order of rows.  A concentration step is one
@@ -39,7 +40,9 @@ CORE, STEPS = 0.75, 3
 CUTOFF = 32.5
 #: Covariance of the central 75 % of a 5-dimensional normal sample times this is that of the whole.
 CONSISTENCY = 1.59
-#: Groups with fewer rows are pooled by language, smaller pools over all; fewer than that are not judged.
+#: Groups with fewer rows are pooled by language; a smaller pool is judged by all rows of its language, or by all
+#: rows at all if those are still fewer. Of these there may be any number: the squares of FLOORS, which every
+#: covariance has added to its diagonal, are then the prior that a few rows hardly move.
 MIN_GROUP = 100
 #: Distance bins: ln(1 + squared distance) in steps of 1/BINS.
 BINS = 64
@@ -126,20 +129,31 @@ PARAMETERS = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i in range(P) for j i
 
 
 def estimation_groups(rows: DataFrame, by: tuple[str, str]) -> DataFrame:
-    """Add ``__g``, the group a row is judged in: its own, its language's small ones', or all small ones'."""
+    """Add ``__g``, the group a row is judged by, and ``__in``, the groups whose estimates count it.
+
+    A row is judged by its own group, its language's small ones, its whole language
+    or all rows, the first of these that has MIN_GROUP rows (all rows: any number).
+    """
     a, b = (F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in by)
     keyed = rows.withColumn("__a", a).withColumn("__b", b)
     groups = keyed.groupBy("__a", "__b").agg(F.count("*").alias("__n"))
-    pools = groups.where(F.col("__n") < MIN_GROUP).groupBy("__a").agg(F.sum("__n").alias("__m"))
-    name = F.when(F.col("__n") >= MIN_GROUP, F.concat(F.lit("s"), "__a", F.lit("\x01"), "__b")).when(F.col("__m") >= MIN_GROUP, F.concat(F.lit("l"), "__a")).otherwise("*")
-    named = cut_lineage(groups.join(pools, "__a", "left").select("__a", "__b", name.alias("__g")))
+    pools = groups.groupBy("__a").agg(F.sum(F.when(F.col("__n") < MIN_GROUP, F.col("__n"))).alias("__m"), F.sum("__n").alias("__t"))
+    own, pool, whole = F.concat(F.lit("s"), "__a", F.lit("\x01"), "__b"), F.concat(F.lit("l"), "__a"), F.concat(F.lit("w"), "__a")
+    name = F.when(F.col("__n") >= MIN_GROUP, own).when(F.col("__m") >= MIN_GROUP, pool).when(F.col("__t") >= MIN_GROUP, whole).otherwise("*")
+    named = cut_lineage(groups.join(pools, "__a").select("__a", "__b", name.alias("__g"), whole.alias("__w")))
+    wide = named.where("__g = __w or __g = '*'").select(F.when(F.col("__g") == "*", F.lit(None)).otherwise(F.col("__w")).alias("__v")).distinct()
+    wide = cut_lineage(wide)
+    languages, everything = wide.where("__v is not null"), F.lit(not wide.where("__v is null").isEmpty())
+    used = named.join(small_side(languages), F.col("__w") == F.col("__v"), "left")
+    counted = F.array_distinct(F.array_compact(F.array("__g", "__v", F.when(everything, F.lit("*")))))
+    named = cut_lineage(used.select("__a", "__b", "__g", counted.alias("__in")))
     return keyed.join(small_side(named), ["__a", "__b"]).drop("__a", "__b")
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """(__g, n_group, m0.., l00..): the estimate of each group of ``rows`` (__g, y0..); groups under MIN_GROUP have none."""
+    """(__g, n_group, m0.., l00..): the estimate of each group of ``rows`` (__g, y0..)."""
     medians = [F.percentile(f"y{i}", F.lit(0.5)).alias(f"m{i}") for i in range(P)]
-    start = cut_lineage(rows.groupBy("__g").agg(F.count("*").alias("n_group"), *medians).where(F.col("n_group") >= MIN_GROUP))
+    start = cut_lineage(rows.groupBy("__g").agg(F.count("*").alias("n_group"), *medians))
     scale = rows.join(small_side(start), "__g").groupBy("__g").agg(*[(F.percentile(F.abs(F.col(f"y{i}") - F.col(f"m{i}")), F.lit(0.5)) * 1.4826).alias(f"d{i}") for i in range(P)])
     diagonal = [F.expr(f"sqrt(d{i} * d{i} + {FLOORS[i] * UNIT} * {FLOORS[i] * UNIT})" if i == j else "0D").cast("double").alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)]
     now = start.join(scale, "__g").select("__g", "n_group", *[f"m{i}" for i in range(P)], *diagonal)
@@ -163,7 +177,7 @@ def concentrate(rows: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", by: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """The input without its text, with STATS, ``base_failed``, ``distance`` (squared; null if not judged) and ``kept``.
+    """The input without its text, with STATS, ``base_failed``, ``distance`` (squared; null if the fixed rules fail) and ``kept``.
 
     Null languages and sources form groups of their own; texts without words fail
     the fixed rules; repeated rows count each; extra columns pass through.
@@ -172,8 +186,8 @@ def judge(docs: DataFrame, *, text_col: str = "text", by: tuple[str, str] = ("la
     stats = cut_lineage(text_statistics(docs.select(*names, text_col), text_col).drop(text_col))
     passed = stats.where(~F.col("base_failed")).selectExpr("*", *vector_sql())
     grouped = cut_lineage(estimation_groups(passed, by))
-    estimate = cut_lineage(mcd(grouped.select("__g", *[f"y{i}" for i in range(P)])))
-    far = grouped.join(small_side(estimate), "__g", "left").select(*names, *STATS, "base_failed", F.expr(distance_sql()).alias("distance"))
+    estimate = cut_lineage(mcd(grouped.select(F.explode("__in").alias("__g"), *[f"y{i}" for i in range(P)])))
+    far = grouped.join(small_side(estimate), "__g").select(*names, *STATS, "base_failed", F.expr(distance_sql()).alias("distance"))
     failed = stats.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
     both = far.unionByName(failed)
     return both.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))

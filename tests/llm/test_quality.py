@@ -88,6 +88,21 @@ def test_judging_and_odd_rows(spark):
     assert quality.judge(d.limit(0)).count() == 0
 
 
+def test_small_groups_and_small_tables_are_judged(spark):
+    rng = random.Random(4)
+    junk = lambda t: " ".join(f"###{w}###" for w in t.split())
+    big = documents(rng, 300, "a")
+    rare = [(junk(t) if i < 3 else t, "es", "b") for i, (t, *_) in enumerate(documents(rng, 20, "b"))]
+    source = [(junk(t) if i < 3 else t, "en", "c") for i, (t, *_) in enumerate(documents(rng, 20, "c"))]
+    schema = "doc_id long, text string, lang string, source string"
+    for rows, bad in ((big + rare + source, {300, 301, 302, 320, 321, 322}), (rare, {0, 1, 2})):
+        out = quality.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)).collect()
+        assert len(out) == len(rows) and {r["doc_id"] for r in out if not r["kept"]} == bad
+        assert all(r["distance"] is not None for r in out)
+    alone = quality.judge(spark.createDataFrame([(0, *big[0])], schema)).first()
+    assert alone["kept"] and alone["distance"] == 0
+
+
 def test_verdicts_do_not_depend_on_partitions(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one = quality.judge(d.coalesce(1)).orderBy("doc_id").collect()
