@@ -11,6 +11,12 @@ template words are ordered by how many blocks of the whole corpus have them
 * positional filter: when the first shared prefix word stands at place ``i``, at most
   ``n - i`` words can still be shared.
 
+A notice may be wrapped, so that no line holds enough of it.  A run of words over
+line ends, as many as the template has in all, is therefore a block of that template
+as well.  Runs that overlap each other are one block, and none counts that overlaps a
+line which matches the template by itself.  Only texts whose words as a whole hold
+the template to the threshold are searched for runs.
+
 Templates are a small list given as a parameter, so every task holds them whole;
 their size is checked.  Documents are never shuffled.  Beside the join the scan
 counts all places where fixed phrases' words stand consecutively.
@@ -22,6 +28,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,6 +73,7 @@ class Index:
     labels: list[str]
     sets: list[list[bytes]]  # distinct words, rarest first
     need: list[int]
+    lengths: list[int]  # words, repeated ones included
     prefix: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
 
     @property
@@ -75,7 +83,7 @@ class Index:
 
 def build_index(templates, frequency: dict[bytes, int], threshold: float) -> Index:
     """Order every template's words by ``frequency`` and enter the prefixes."""
-    index = Index([], [], [])
+    index = Index([], [], [], [])
     for label, text in templates:
         words = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
         if not words:
@@ -84,6 +92,7 @@ def build_index(templates, frequency: dict[bytes, int], threshold: float) -> Ind
         index.labels.append(label)
         index.sets.append(words)
         index.need.append(need)
+        index.lengths.append(len(words_of(text.encode())))
         for i, w in enumerate(words[: len(words) - need + 1]):
             index.prefix[w].append((t, i))
     return index
@@ -104,6 +113,34 @@ def join_block(block: set[bytes], index: Index) -> Iterator[tuple[int, float]]:
             yield t, shared / len(words)
 
 
+def wrapped_blocks(words: list[bytes], taken: list[tuple[int, int]], template: list[bytes], need: int, length: int) -> list[float]:
+    """Containment of ``template`` in each block of runs of ``length`` words that hold ``need`` of its distinct ones.
+
+    ``taken``: ascending (start, end) of the lines that match by themselves; no run overlaps them.
+    """
+    wanted, best = frozenset(template), []
+    end_before = -1  # of the last run that matched
+    for start, end in zip([0, *[e for _, e in taken]], [*[s for s, _ in taken], len(words)], strict=True):
+        spots = [p for p in range(start, end) if words[p] in wanted]
+        count: Counter = Counter()
+        low = 0
+        for p in spots:
+            count[words[p]] += 1
+            while spots[low] <= p - length:
+                count[words[spots[low]]] -= 1
+                if not count[words[spots[low]]]:
+                    del count[words[spots[low]]]
+                low += 1
+            if len(count) >= need:
+                share = len(count) / len(template)
+                if best and spots[low] <= end_before:
+                    best[-1] = max(best[-1], share)
+                else:
+                    best.append(share)
+                end_before = p
+    return best
+
+
 def template_frequencies(docs: DataFrame, words: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
     """In how many blocks of the whole corpus each template word stands; summed per task before the shuffle."""
 
@@ -145,7 +182,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
     """Scan every whole text; adds the columns of ``SCAN``.
 
     ``score`` is the highest containment of any template in any block, 1 where a
-    phrase stands, else 0 for texts with no match.  ``labels`` joins the phrases'
+    phrase stands, else 0 for texts with no match; blocks are lines and wrapped runs.  ``labels`` joins the phrases'
     and matched templates' labels; ``n_blocks`` counts matching (block, template)
     pairs.  Null and empty texts have no words and no labels; columns of these
     names in the input are replaced; repeated rows each keep their row.
@@ -163,11 +200,20 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES
         places = phrase_places(words, phr)
         base = {label for _, label in places}
         labels, best, hits = set(base), 1.0 if base else 0.0, 0
-        for line in text.split(b"\n"):
-            block = vocab.intersection(line.translate(_WORDS).split(b" "))
+        lines = [line.translate(_WORDS) for line in text.split(b"\n")]
+        alone = defaultdict(list)  # numbers of the lines that match a template
+        for k, line in enumerate(lines):
+            block = vocab.intersection(line.split(b" "))
             for t, share in join_block(block, ix) if block else ():
                 labels.add(ix.labels[t])
                 best, hits = max(best, share), hits + 1
+                alone[t].append(k)
+        over = [t for t, _ in join_block(vocab.intersection(words), ix)] if len(lines) > 1 else ()
+        at = list(accumulate((len(line.split()) for line in lines), initial=0)) if over else ()
+        for t in over:
+            for share in wrapped_blocks(words, [(at[k], at[k + 1]) for k in alone[t]], ix.sets[t], ix.need[t], ix.lengths[t]):
+                labels.add(ix.labels[t])
+                best, hits = max(best, share), hits + 1
         starts = [p for p, _ in places]
         return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), best, hits
 

@@ -67,3 +67,21 @@ def test_templates_have_a_size_bound(spark):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_wrapped_notices_are_found(spark):
+    import textwrap
+
+    texts = []
+    for _, t in ls.TEMPLATES:
+        for width, mark in ((72, ""), (30, "# "), (20, " * ")):
+            texts.append("Intro words of a file\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n\nand a tail")
+    long = ls.TEMPLATES[5][1]
+    wrapped = "\n".join(textwrap.wrap(long, 40))
+    texts += [wrapped + "\nbetween\n" * 60 + wrapped, long + "\n" + "x\n" * 60 + wrapped, "permission\n" + "x " * 40 + "\n" + " ".join(long.split()[1:9])]
+    got = {r["doc_id"]: r for r in ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(3 * len(ls.TEMPLATES)):
+        label = ls.TEMPLATES[i // 3][0]
+        assert label in got[i]["labels"].split(",") and got[i]["score"] >= ls.THRESHOLD and got[i]["n_blocks"] >= 1, texts[i]
+    n = 3 * len(ls.TEMPLATES)
+    assert [(got[n + i]["labels"], got[n + i]["n_blocks"]) for i in range(3)] == [("mit", 2), ("mit", 2), ("", 0)]
