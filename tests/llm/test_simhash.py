@@ -124,3 +124,29 @@ def test_rows_without_any_id(spark):
     d = spark.createDataFrame([(None, "alpha beta gamma"), (None, "alpha beta gamma"), (None, "other words here")], "doc_id long, text string")
     assert simhash.deduplicate(d).count() == 2
     assert simhash.near_duplicates(d).where(F.col("component_id").isNotNull()).isEmpty()
+
+
+def test_overlap_links_every_pair_at_four_fifths(spark):
+    rng = random.Random(12)
+    texts = {}
+    for g in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 30, 120, 300]))]
+        for k in range(4):
+            w = list(words)
+            for _ in range(k * len(w) // 60):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(3000)}"
+            texts[10 * g + k] = " ".join(w)
+    texts |= {900: None, 901: "", 902: "two words", 903: "Two  words"}
+    grams = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := (t or "").lower().split())}
+    alike = {(i, j) for i in grams for j in grams if i < j and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])}
+    fps = {i: brute_fingerprint(t) for i, t in texts.items()}
+    near = {(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= simhash.DISTANCE}
+    assert len(alike - near) > 10
+    root = {i: i for i in texts}
+    for _ in texts:
+        for i, j in alike | near:
+            root[i] = root[j] = min(root[i], root[j])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"] for r in simhash.deduplicate(d, overlap=True).collect()}
+    assert got == set(root.values()) and got < {r["doc_id"] for r in simhash.deduplicate(d).collect()}
+    assert simhash.deduplicate(d.limit(0), overlap=True).count() == 0
