@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,21 +17,52 @@ def session_defaults(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, with underscores before it until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
+def boxed(df: DataFrame, names: list[str] | None = None) -> Column:
+    """The columns ``names`` (all) as one struct ``row``, beside which working columns may have any names."""
+    return F.struct(*[col(c) for c in (df.columns if names is None else names)]).alias("row")
+
+
+def unboxed(names: list[str]) -> list[Column]:
+    """The columns of ``boxed``, again by themselves."""
+    return [F.col("row").getField(c).alias(c) for c in names]
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n`` (null ids count as '')."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors see.
 
-    ``spark.checkpoint.dir`` names the folder on a cluster; only where it is
-    unset (tests, a laptop) does this fall back to a folder of its own.
+    Only a local master, whose one process needs no sharing, may leave it unset.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back from there."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
     return df.checkpoint()
 
 

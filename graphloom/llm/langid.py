@@ -7,16 +7,20 @@ words.  Piece probabilities are expected counts (forward-backward) over every
 training document: one task sums them for all its words, so a shuffle carries at
 most languages x vocabulary rows a task, which also bounds what the driver gets.
 
-Words are runs of letters, lower-cased; a run of over ``MAX_WORD`` letters is
-scored in stretches of that length.  The dynamic programs run over all distinct
-words of a batch at once, grouped by length.
+Words are whole runs of letters and the marks on them, lower-cased, of any length.
+The dynamic programs go over all distinct words of a batch at once, place by place,
+and keep as many columns as the longest piece has symbols.  Beyond ``PLAIN`` places
+the columns are rescaled at each, so no product leaves the range of doubles.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,37 +28,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-MAX_WORD = 32
+from .common import col, free_name
+
 START = "▁"
 LETTER_RUN = re.compile(r"[^\W\d_]+")
-#: Every symbol of a piece is weighed by this, so that products stay within doubles.
+#: Pieces of more symbols than this are not used: products over so many places stay within doubles.
+MAX_PIECE = 16
+#: Every symbol of a piece is weighed by this, so that products of common words stay near 1.
 SCALE = 24.0
+#: Places that need no rescaling: a weight is at least SCALE * LEAST.
+PLAIN, LEAST = 16, 1e-15
+#: Share of each probability that is spread evenly over the vocabulary and the unknown symbol.
+SMOOTHING = 1e-3
+#: More languages are refused: every task holds a number for each piece and language.
+MAX_LANGUAGES = 1000
+#: Symbols of distinct words that one pass of a dynamic program takes (one longer word is a pass by itself).
+PASS_SYMBOLS = 1 << 20
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
+@cache
+def _marks() -> tuple[np.ndarray, re.Pattern]:
+    """Which characters are combining marks, and the pattern of words that have some."""
+    is_mark = np.array([unicodedata.category(chr(c))[0] == "M" for c in range(sys.maxunicode + 1)])
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], is_mark.astype(np.int8), [0]))))
+    ranges = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in edges.reshape(-1, 2))
+    return is_mark, re.compile(rf"[^\W\d_](?:[^\W\d_]|[{ranges}])*")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, lower-cased: whole runs of letters, with the marks that follow them."""
+    low = text.lower()
+    if not low.isascii() and _marks()[0][_codes(low).astype(np.int64)].any():
+        return _marks()[1].findall(low)
+    return LETTER_RUN.findall(low)
+
+
+def _is_bare(piece: str) -> bool:
+    return piece == "" or piece == piece.lower() and all(unicodedata.category(c)[0] in "LM" for c in piece)
+
+
 def vocabulary_pieces(model_path: str) -> list[str]:
-    """The usable pieces of a sentencepiece model: letters only, with or without the word-start mark."""
+    """The usable pieces of a sentencepiece model: letters and marks only, with or without the word-start mark."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
     pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in pieces if (bare := p.removeprefix(START)) == "" or bare.isalpha() and bare == bare.lower() and len(p) <= MAX_WORD)
+    return sorted(p for p in pieces if len(p) <= MAX_PIECE and _is_bare(p.removeprefix(START)))
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
 class PieceIndex:
-    """Finds the number of a piece by a polynomial hash of its characters; -1 if none."""
+    """Finds the number of a piece by a polynomial hash of its characters: -1 if none, -2 for a piece's beginning only."""
 
     LEVELS = (44, 22)  # which bits of the mixed hash address the first and second table
     BITS = 20
 
     def __init__(self, pieces: list[str]):
         self.size, self.longest = len(pieces), max((len(p) for p in pieces), default=1)
-        keys = np.array([self.hash_of(p) for p in pieces], np.uint64)
-        assert len(np.unique(keys)) == len(keys), "pieces must be distinct"
+        if self.longest > MAX_PIECE:
+            raise ValueError(f"pieces may have {MAX_PIECE} symbols at most")
+        value = {p[:k]: -2 for p in pieces for k in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
+        keys = np.array([self.hash_of(p) for p in value], np.uint64)
+        assert len(value) >= len(pieces) and len(np.unique(keys)) == len(keys), "pieces must be distinct"
         self.tables, left = [], np.arange(len(keys))
         for shift in self.LEVELS:
             table = np.full(1 << self.BITS, -1, np.int32)
@@ -62,15 +101,16 @@ class PieceIndex:
             table[slot[::-1]] = left[::-1]
             self.tables.append((shift, table))
             left = left[table[slot] != left]
-        self.rest = {int(keys[i]): int(i) for i in left}
+        self.values = np.append(np.fromiter(value.values(), np.int32, len(value)), np.int32(-1))
+        self.rest = {int(keys[i]): int(self.values[i]) for i in left}
         self.keys = np.append(keys, np.uint64(0))
 
     @staticmethod
     def hash_of(text: str) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in _codes(text):
-            h = h * _BASE + c
-        return h[0]
+        h, base = 0, int(_BASE)
+        for c in text:
+            h = (h * base + ord(c)) & 0xFFFFFFFFFFFFFFFF
+        return np.uint64(h)
 
     def _slot(self, h: np.ndarray, shift: int) -> np.ndarray:
         return ((h * _MIX) >> np.uint64(shift)).astype(np.int64) & ((1 << self.BITS) - 1)
@@ -79,72 +119,135 @@ class PieceIndex:
         out = np.full(len(h), -1, np.int32)
         for shift, table in self.tables:
             got = table[self._slot(h, shift)]
-            out = np.where((out < 0) & (self.keys[got] == h) & (got >= 0), got, out)
+            out = np.where((out == -1) & (self.keys[got] == h) & (got >= 0), self.values[got], out)
         for key, i in self.rest.items():
             out[h == np.uint64(key)] = i
         return out
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions in ``words``, matrix of characters with the start mark) for each word length."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    flat, ends = _codes("".join(words)), np.cumsum(lengths)
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        chars = flat[(ends[at] - n)[:, None] + np.arange(n)]
-        yield at, np.hstack([np.full((len(at), 1), ord(START), np.uint64), chars])
-
-
-def _spans(index: PieceIndex, chars: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(start, end, rows, pieces): where each span of a piece's length is a piece; single characters always are, as
-    number ``index.size`` if unknown.  By end, then start."""
-    width = chars.shape[1]
-    hashes: dict[int, np.ndarray] = {}
-    for end in range(1, width + 1):
-        for start in range(max(0, end - index.longest), end):
-            hashes[start] = hashes[start] * _BASE + chars[:, end - 1] if start in hashes else chars[:, end - 1].copy()
-            found = index.find(hashes[start])
-            if end - start == 1:
-                yield start, end, np.arange(len(chars)), np.where(found < 0, index.size, found)
-            elif len(rows := np.flatnonzero(found >= 0)):
-                yield start, end, rows, found[rows]
-        hashes.pop(end - index.longest, None)
+class Lattice:
+    """All spans of some words that are pieces, by the place where they end.
+
+    Words are numbered by falling length, so those that reach a place are the first
+    ones.  Single symbols always are pieces, as number ``index.size`` if unknown.
+    """
+
+    def __init__(self, index: PieceIndex, words: list[str]):
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.order = np.argsort(-lengths, kind="stable")
+        self.lengths = lengths[self.order]
+        self.width = int(self.lengths[0])
+        self.reach = np.searchsorted(-self.lengths, -np.arange(self.width + 1), "right")  # words with at least so many symbols
+        flat = _codes(START + START.join(words[i] for i in self.order))
+        ends = np.cumsum(self.lengths)
+        starts = ends - self.lengths
+        at, h = np.arange(len(flat)), np.zeros(len(flat), np.uint64)
+        stop = np.repeat(ends, self.lengths)
+        word = np.repeat(np.arange(len(words)), self.lengths)
+        found = []  # (end, length, word, piece)
+        for n in range(1, index.longest + 1):
+            h = h * _BASE + flat[at + n - 1]
+            piece = index.find(h)
+            hit = piece >= 0
+            if n == 1:
+                piece, hit = np.where(hit, piece, index.size), np.ones(len(at), bool)
+                begins = index.find(h) != -1
+            else:
+                begins = piece != -1
+            w = word[at[hit]]
+            found.append((at[hit] - starts[w] + n, np.full(len(w), n, np.int8), w, piece[hit]))
+            on = begins & (at + n < stop[at])
+            at, h = at[on], h[on]
+            if not len(at):
+                break
+        end, length, self.word, self.piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((self.word, length, end))
+        end, length, self.word, self.piece = end[by], length[by], self.word[by], self.piece[by].astype(np.int64)
+        cut = np.flatnonzero(np.concatenate(([True], (end[1:] != end[:-1]) | (length[1:] != length[:-1]))))
+        self.groups = [(int(end[a]), int(length[a]), a, b) for a, b in zip(cut, [*cut[1:], len(end)], strict=True)]
+
+    def by_end(self) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """(end, [(length, from, to)]) in order; ``word`` and ``piece`` from .. to are the spans."""
+        at = 0
+        while at < len(self.groups):
+            end, spans = self.groups[at][0], []
+            while at < len(self.groups) and self.groups[at][0] == end:
+                spans.append(self.groups[at][1:])
+                at += 1
+            yield end, spans
+
+
+def _passes(words: list[str], weight: int = 1) -> Iterator[np.ndarray]:
+    """Numbers of words, cut so that a pass has about PASS_SYMBOLS / weight symbols."""
+    size = max(PASS_SYMBOLS // weight, 1)
+    part = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) // size
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    yield from np.split(np.arange(len(words)), cuts)
 
 
 def forward(index: PieceIndex, words: list[str], probs: np.ndarray) -> np.ndarray:
-    """Log likelihoods (words x languages); ``probs``: (pieces + 1) x languages, the last row for unknown characters."""
+    """Log likelihoods (words x languages); ``probs``: (pieces + 1) x languages, the last row for unknown symbols."""
     out = np.zeros((len(words), probs.shape[1]))
-    for at, chars in _by_length(words):
-        width = chars.shape[1]
-        alpha = np.zeros((width + 1, len(at), probs.shape[1]))
-        alpha[0] = 1.0
-        for start, end, rows, pieces in _spans(index, chars):
-            if len(rows) == len(at):
-                alpha[end] += alpha[start] * probs[pieces] * SCALE ** (end - start)
-            else:
-                alpha[end][rows] += alpha[start][rows] * (probs[pieces] * SCALE ** (end - start))
-        out[at] = np.log(alpha[width]) - width * np.log(SCALE)
+    for part in _passes(words, 1 + probs.shape[1] // 8) if words else ():
+        lattice = Lattice(index, [words[i] for i in part])
+        n, depth = len(part), index.longest + 1
+        ring, log = np.zeros((depth, n, probs.shape[1])), np.zeros((n, probs.shape[1]))
+        ring[0] = 1.0
+        for end, spans in lattice.by_end():
+            m = lattice.reach[end]
+            now = ring[end % depth][:m]
+            now[:] = 0.0
+            for length, a, b in spans:
+                w = lattice.word[a:b]
+                now[w] += ring[(end - length) % depth][w] * (probs[lattice.piece[a:b]] * SCALE**length)
+            if end > PLAIN:
+                by = now.copy()
+                log[:m] += np.log(by)
+                ring[:, :m] /= by
+            done = slice(lattice.reach[end + 1] if end < lattice.width else 0, m)
+            log[done] += np.log(now[done.start : m]) - lattice.lengths[done, None] * np.log(SCALE)
+        out[part[lattice.order]] = log
     return out
 
 
 def expected_counts(index: PieceIndex, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Expected piece counts (pieces x languages) of words seen ``counts`` (words x languages) times, all cut by ``probs``."""
+    """Expected piece counts (pieces x languages) of words seen ``counts`` (words x languages) times, all cut by ``probs``.
+
+    Going back, a place hands its mass on by the shares that the spans ending there
+    had in its forward sum, so the backward pass needs no sums of its own.
+    """
     total = np.zeros((index.size + 1, counts.shape[1]))
-    for at, chars in _by_length(words):
-        width, n = chars.shape[1], len(at)
-        spans = list(_spans(index, chars))
-        alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-        alpha[0], beta[width] = 1.0, 1.0
-        weight = [probs[pieces] * SCALE ** (end - start) for start, end, _, pieces in spans]
-        for (start, end, rows, _), w in zip(spans, weight, strict=True):
-            alpha[end][rows] += alpha[start][rows] * w
-        for (start, end, rows, _), w in sorted(zip(spans, weight, strict=True), key=lambda x: -x[0][1]):
-            beta[start][rows] += beta[end][rows] * w
-        share = counts[at] / alpha[width][:, None]
-        for (start, end, rows, pieces), w in zip(spans, weight, strict=True):
-            mass = (alpha[start][rows] * w * beta[end][rows])[:, None] * share[rows]
-            for g in range(counts.shape[1]):
-                total[:, g] += np.bincount(pieces, mass[:, g], index.size + 1)
+    for part in _passes(words) if words else ():
+        lattice = Lattice(index, [words[i] for i in part])
+        n, depth = len(part), index.longest + 1
+        ring = np.zeros((depth, n))
+        ring[0] = 1.0
+        share = np.empty(len(lattice.word))
+        steps = list(lattice.by_end())
+        for end, spans in steps:
+            m = lattice.reach[end]
+            now = ring[end % depth][:m]
+            now[:] = 0.0
+            for length, a, b in spans:
+                w = lattice.word[a:b]
+                share[a:b] = ring[(end - length) % depth][w] * (probs[lattice.piece[a:b]] * SCALE**length)
+                now[w] += share[a:b]
+            first, last = spans[0][1], spans[-1][2]
+            share[first:last] /= now[lattice.word[first:last]]
+            if end > PLAIN:
+                ring[:, :m] /= now.copy()
+        mass = np.zeros((depth, n))
+        for end, spans in reversed(steps):
+            m = lattice.reach[end]
+            mass[end % depth][lattice.reach[end + 1] if end < lattice.width else 0 : m] = 1.0
+            for length, a, b in spans:
+                w = lattice.word[a:b]
+                share[a:b] *= mass[end % depth][w]
+                mass[(end - length) % depth][w] += share[a:b]
+            mass[end % depth] = 0.0
+        of = counts[part[lattice.order]]
+        for g in range(counts.shape[1]):
+            total[:, g] += np.bincount(lattice.piece, share * of[lattice.word, g], index.size + 1)
     return total
 
 
@@ -155,13 +258,8 @@ class Bag:
         self.number: dict[str, int] = {}
 
     def ids(self, text: str) -> list[int]:
-        put, out = self.number.setdefault, []
-        for word in LETTER_RUN.findall(text.lower()):
-            if len(word) <= MAX_WORD:
-                out.append(put(word, len(self.number)))
-            else:
-                out.extend(put(word[i : i + MAX_WORD], len(self.number)) for i in range(0, len(word), MAX_WORD))
-        return out
+        put = self.number.setdefault
+        return [put(word, len(self.number)) for word in words_of(text)]
 
 
 @dataclass
@@ -172,24 +270,35 @@ class Model:
     log_prior: np.ndarray
 
 
-def flat_start(index: PieceIndex, pieces: list[str]) -> np.ndarray:
+def smoothed(counts: np.ndarray, share: float = SMOOTHING) -> np.ndarray:
+    """Probabilities from the counts of each column, of which ``share`` is spread evenly; all of it if there are none."""
+    total = counts.sum(axis=0)
+    known = np.divide(counts, total, out=np.full(counts.shape, 1.0 / len(counts)), where=total > 0)
+    return np.maximum((1 - share) * known + share / len(counts), LEAST)
+
+
+def flat_start(pieces: list[str]) -> np.ndarray:
     """First guess: a piece is likelier the longer it is, which favours few long pieces."""
     w = np.array([8.0 ** -max(1, 12 - len(p)) for p in pieces] + [8.0**-12 / 100])
-    return w / w.sum()
+    return np.maximum(w / w.sum(), LEAST)
 
 
-def fit(docs: DataFrame, pieces: list[str], *, usable: Column, text_col: str = "text", lang_col: str = "lang", rounds: int = 1, smoothing: float = 0.05) -> Model:
+def fit(docs: DataFrame, pieces: list[str], *, usable: Column, text_col: str = "text", lang_col: str = "lang", rounds: int = 1, smoothing: float = SMOOTHING) -> Model:
     """Expected piece counts of all usable rows with a language, then smoothed probabilities.
 
     ``rounds`` passes of expectation-maximisation over the corpus; the first cuts
-    words by ``flat_start``, later ones by the pooled probabilities.
+    words by ``flat_start``, later ones by the pooled probabilities.  Null and empty
+    texts count for their language's prior only; repeated rows count each; a table
+    without usable rows gives a model without languages.  More than MAX_LANGUAGES
+    distinct languages raise.
     """
     spark = docs.sparkSession
-    rows = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).cast("binary").alias("t"))
-    seen = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where(usable & col(lang_col).isNotNull()).select(col(lang_col).alias("l"), col(text_col).cast("binary").alias("t"))
+    seen = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(seen) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(seen)
-    index = PieceIndex(pieces)
-    cut = flat_start(index, pieces)
+    cut = flat_start(pieces)
     probs = np.tile(cut[:, None], (1, max(len(languages), 1)))
     for _ in range(rounds if languages else 0):
         shared = spark.sparkContext.broadcast((pieces, languages, cut))
@@ -214,8 +323,7 @@ def fit(docs: DataFrame, pieces: list[str], *, usable: Column, text_col: str = "
         got = rows.mapInArrow(count, "p int, g int, n double").groupBy("p", "g").agg(F.sum("n").alias("n")).toPandas()
         total = np.zeros_like(probs)
         total[got["p"].to_numpy(), got["g"].to_numpy()] = got["n"].to_numpy()
-        probs = (total + smoothing) / (total + smoothing).sum(axis=0)
-        cut = (total.sum(axis=1) + smoothing) / (total + smoothing).sum()
+        probs, cut = smoothed(total, smoothing), smoothed(total.sum(axis=1)[:, None], smoothing)[:, 0]
     prior = np.array([seen[x] for x in languages], float)
     return Model(pieces, languages, probs, np.log(prior / prior.sum()) if languages else np.zeros(1))
 
@@ -224,10 +332,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
     """Add the likeliest language of every whole text and its posterior probability.
 
     Texts that are null or have no letter get ``und`` and 0, as does everything
-    when no language was learned.  Ties go to the first language by name.
+    when no language was learned.  Ties go to the first language by name; repeated
+    rows each keep their row.  Input columns of the two names are replaced, all
+    others pass through.  Memory grows with the batch and the longest run of letters.
     """
-    df = docs.drop(lang_col, score_col)
-    carried = df.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")))
+    df = docs.select(*[col(c) for c in docs.columns if c not in (lang_col, score_col)])
+    carried = df.select("*", F.coalesce(col(text_col).cast("binary"), F.lit(b"")).alias(free_name(df, "__text")))
     shared, names = df.sparkSession.sparkContext.broadcast(model), [*df.columns, lang_col, score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +347,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
             bag, lang, score = Bag(), [], []
             texts = [bag.ids(t.as_py().decode("utf-8", "replace")) for t in batch.column(batch.num_columns - 1)]
             words = list(bag.number)
-            table = forward(index, words, m.probs) if words else np.zeros((0, 1))
+            table = forward(index, words, m.probs)
             letters = np.array([any(map(str.isalpha, w)) for w in words], bool)
             for ids in texts:
                 at = np.array(ids, np.int64)
