@@ -39,26 +39,86 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
 FROM w LEFT JOIN base USING (r) LEFT JOIN best USING (r) LEFT JOIN labels USING (r) LEFT JOIN base_labels USING (r)"""
 
 
+#: Concentration steps that the SQL has room for; an estimate that stopped earlier stays as it is.
+ROUNDS = 16
+
+
+def _ldl(rows: str, keep: str, n: int) -> str:
+    """``rows`` (keep, a00, a10, a11, ..) with unit lower factor e10, .. and pivots p0, .., by elimination without roots."""
+    left = {(i, j): f"a{i}{j}" for i in range(n) for j in range(i + 1)}
+    for k in range(n):
+        items = [f"greatest({left[k, k]}, 1.0::DOUBLE) AS p{k}"]
+        rows = f"(SELECT *, {', '.join(items)} FROM {rows})"
+        items = [f"{left[i, k]} / p{k} AS e{i}{k}" for i in range(k + 1, n)]
+        items += [f"{left[i, j]} - {left[i, k]} * {left[j, k]} / p{k} AS a{i}{j}_{k}" for i in range(k + 1, n) for j in range(k + 1, i + 1)]
+        if items:
+            rows = f"(SELECT *, {', '.join(items)} FROM {rows})"
+        left |= {(i, j): f"a{i}{j}_{k}" for i in range(k + 1, n) for j in range(k + 1, i + 1)}
+    factor = [f"e{i}{j}" for i in range(n) for j in range(i)] + [f"p{i}" for i in range(n)]
+    return f"(SELECT {keep}, {', '.join(factor)}, {' + '.join(f'ln(p{i})' for i in range(n))} AS logdet FROM {rows})"
+
+
+def _far(rows: str, keep: str, n: int) -> str:
+    """``rows`` (keep, x0.., mu0.., e10.., p0..) with their squared distance d2, by forward elimination."""
+    for i in range(n):
+        rows = f"(SELECT *, x{i} - mu{i}{''.join(f' - e{i}{j} * r{j}' for j in range(i))} AS r{i} FROM {rows})"
+    return f"(SELECT {keep}, {' + '.join(f'r{i} * r{i} / p{i}' for i in range(n))} AS d2 FROM {rows})"
+
+
 def quality_sql() -> str:
-    """The statistics are counted anew here; the estimate's formulas are the operator's own."""
+    """Statistics and estimates worked out anew: an elimination without roots, weights instead of picked bins."""
     q, n = quality, quality.P
-    ys = ", ".join(f"y{i}" for i in range(n))
-    steps = []
-    diagonal = ", ".join((f"sqrt(d{i} * d{i} + {q.FLOORS[i] * q.UNIT} * {q.FLOORS[i] * q.UNIT})" if i == j else "0.0::DOUBLE") + f" AS l{i}{j}" for i in range(n) for j in range(i + 1))
-    steps.append(f"med AS MATERIALIZED (SELECT g, count(*) AS n_group, {', '.join(f'quantile_cont(y{i}, 0.5) AS m{i}' for i in range(n))} FROM v GROUP BY g HAVING count(*) >= {q.MIN_GROUP})")
-    steps.append(f"mad AS (SELECT g, {', '.join(f'quantile_cont(abs(y{i} - m{i}), 0.5) * 1.4826 AS d{i}' for i in range(n))} FROM v JOIN med USING (g) GROUP BY g)")
-    steps.append(f"e0 AS MATERIALIZED (SELECT g, n_group, {', '.join(f'm{i}' for i in range(n))}, {diagonal} FROM med JOIN mad USING (g))")
-    moments = ", ".join(f"sum({m}) AS {x}" for m, x in zip(q.MOMENTS, q.MOMENT_NAMES, strict=True))
-    totals = ", ".join(f"CAST(sum({x}) AS DOUBLE) AS {x}" for x in ("n", *q.MOMENT_NAMES))
-    for k in range(q.STEPS):
-        layered = f"(SELECT g, n_group, {totals} FROM b{k} WHERE before < {q.CORE} * n_group GROUP BY g, n_group)"
-        for layer in q.cholesky_sql():
-            layered = f"(SELECT *, {', '.join(layer)} FROM {layered})"
-        steps.append(f"f{k} AS (SELECT g, n_group, {ys}, {q.bin_sql(q.distance_sql())} AS bin FROM v JOIN e{k} USING (g))")
-        steps.append(f"a{k} AS (SELECT g, n_group, bin, count(*) AS n, {moments} FROM f{k} GROUP BY g, n_group, bin)")
-        steps.append(f"b{k} AS MATERIALIZED (SELECT *, coalesce(sum(n) OVER (PARTITION BY g ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a{k})")
-        steps.append(f"e{k + 1} AS MATERIALIZED (SELECT g, n_group, {', '.join(q.PARAMETERS)} FROM {layered})")
-    vector = ", ".join(x.replace(" as bigint", " AS BIGINT") for x in q.vector_sql())
+    tri = [(i, j) for i in range(n) for j in range(i + 1)]
+    xs, mus = ", ".join(f"x{i}" for i in range(n)), ", ".join(f"mu{i}" for i in range(n))
+    factor = ", ".join([f"e{i}{j}" for i in range(n) for j in range(i)] + [f"p{i}" for i in range(n)])
+    cov = ", ".join(f"a{i}{j}" for i, j in tri)
+    ridge = {(i, i): f" + pow({q.FLOORS[i]}::DOUBLE * {q.UNIT}, 2)" for i in range(n)}
+    wide = ", ".join(f"sqrt(pow(1.4826::DOUBLE * quantile_cont(abs(x{i} - mu{i}), 0.5), 2){ridge[i, i]}) AS s{i}" for i in range(n))
+    unit = ", ".join(f"(x{i} - mu{i}) / s{i} AS t{i}" for i in range(n))
+    clip = ", ".join(f"round(least({q.CLIP}, greatest(-{q.CLIP}, t{i})) * {q.GRAIN}) AS u{i}" for i in range(n))
+    norm = f"sqrt({' + '.join(f't{i} * t{i}' for i in range(n))})"
+    sign = ", ".join(f"CASE WHEN {norm} = 0 THEN 0 ELSE round(t{i} / {norm} * {q.GRAIN}) END AS v{i}" for i in range(n))
+    first = [
+        ", ".join((f"any_value(s{i}) * any_value(s{i})" if i == j else "0.0::DOUBLE") + f" AS a{i}{j}" for i, j in tri),
+        ", ".join(f"any_value(s{i}) * any_value(s{j}) * CAST(sum(CAST(u{i} * u{j} AS BIGINT)) AS DOUBLE) / count(*) / {q.GRAIN * q.GRAIN}{ridge.get((i, j), '')} AS a{i}{j}" for i, j in tri),
+        ", ".join(f"{n} * any_value(s{i}) * any_value(s{j}) * CAST(sum(CAST(v{i} * v{j} AS BIGINT)) AS DOUBLE) / count(*) / {q.GRAIN * q.GRAIN}{ridge.get((i, j), '')} AS a{i}{j}" for i, j in tri),
+    ]
+    center = ", ".join(f"any_value(mu{i}) AS mu{i}" for i in range(n))
+    steps = [
+        f"c0 AS MATERIALIZED (SELECT g, count(*) AS n, {', '.join(f'quantile_cont(x{i}, 0.5) AS mu{i}' for i in range(n))} FROM pts GROUP BY g)",
+        f"c1 AS MATERIALIZED (SELECT g, any_value(n) AS n, {center}, {wide} FROM pts JOIN c0 USING (g) GROUP BY g)",
+        f"dirs AS MATERIALIZED (SELECT g, n, {mus}, {', '.join(f's{i}' for i in range(n))}, {clip}, {sign} FROM (SELECT *, {unit} FROM pts JOIN c1 USING (g)))",
+        "s0 AS (" + " UNION ALL ".join(f"SELECT g, {k} AS k, any_value(n) AS n, {center}, {x} FROM dirs GROUP BY g" for k, x in enumerate(first)) + ")",
+        f"est0 AS MATERIALIZED (SELECT *, 1e300::DOUBLE AS best, true AS live FROM {_ldl('s0', f'g, k, n, {mus}, {cov}', n)})",
+    ]
+    for r in range(ROUNDS):
+        near = _far(f"(SELECT * FROM pts JOIN (SELECT g, k, n, {mus}, {factor} FROM est{r} WHERE live) USING (g))", f"g, k, n, {xs}", n)
+        steps.append(f"near{r} AS MATERIALIZED (SELECT *, CAST(floor(ln(1 + d2) * {q.BINS}) AS BIGINT) AS bin FROM {near})")
+        need = f"ceil({q.CORE}::DOUBLE * any_value(n))"
+        steps.append(f"bins{r} AS (SELECT g, k, bin, {need} AS h, count(*) AS c, sum(count(*)) OVER (PARTITION BY g, k ORDER BY bin) AS upto FROM near{r} GROUP BY g, k, bin)")
+        steps.append(f"w{r} AS (SELECT g, k, bin, h, greatest(0, least(c, h - (upto - c))) / CAST(c AS DOUBLE) AS w FROM bins{r})")
+        weighted = ", ".join([f"sum(w * x{i}) / any_value(h) AS mu{i}" for i in range(n)] + [f"sum(w * x{i} * x{j}) / any_value(h) AS b{i}{j}" for i, j in tri])
+        moved = f"(SELECT g, k, any_value(n) AS n, {weighted} FROM near{r} JOIN w{r} USING (g, k, bin) GROUP BY g, k)"
+        cov_of = ", ".join(f"(b{i}{j} - mu{i} * mu{j}) * {q.CONSISTENCY}::DOUBLE{ridge.get((i, j), '')} AS a{i}{j}" for i, j in tri)
+        steps.append(f"new{r} AS MATERIALIZED {_ldl(f'(SELECT g, k, n, {mus}, {cov_of} FROM {moved})', f'g, k, n, {mus}, {cov}', n)}")
+        better = ", ".join(f"CASE WHEN new.logdet < old.best THEN new.{x} ELSE old.{x} END AS {x}" for x in [*mus.split(", "), *cov.split(", "), *factor.split(", ")])
+        steps.append(
+            f"est{r + 1} AS MATERIALIZED (SELECT old.g, old.k, old.n, {better}, CASE WHEN new.logdet < old.best THEN new.logdet ELSE old.best END AS best, "
+            f"coalesce(new.logdet < old.best - {q.FALL}, false) AS live FROM est{r} old LEFT JOIN new{r} new ON old.g = new.g AND old.k = new.k)"
+        )
+    numbers = [*mus.split(", "), *cov.split(", ")]
+    mix = lambda own, wider, k: ", ".join(f"({own}.n * {own}.{x} + {k} * {wider}.{x}) / ({own}.n + {k}) AS {x}" for x in numbers)
+    vector = [
+        "ln(n_words)", "4 * ln(word_chars::DOUBLE / n_words)", "ln(1 + 1000::DOUBLE * n_symbols / n_words)",
+        "ln(1 + 1000::DOUBLE * n_dup_lines / n_words)", "ln(1 + 100::DOUBLE * n_repeat_words / n_words)",
+    ]
+    steps += [
+        f"top AS MATERIALIZED (SELECT * FROM est{ROUNDS} QUALIFY row_number() OVER (PARTITION BY g ORDER BY best, k) = 1)",
+        f"tongue AS (SELECT l.g, {mix('l', 'a', q.PRIOR_ROWS)} FROM top l, top a WHERE a.g = 'all' AND l.g LIKE 'lang%')",
+        f"own AS (SELECT s.g, {mix('s', 't', q.PRIOR_ROWS)} FROM top s JOIN (SELECT DISTINCT a, b FROM p) x ON s.g = 'src' || a || chr(1) || b JOIN tongue t ON t.g = 'lang' || a)",
+        f"final AS MATERIALIZED {_ldl('own', f'g, {mus}', n)}",
+        f"far AS {_far(f'(SELECT r, {xs}, final.* FROM p JOIN final ON final.g = ' + chr(39) + 'src' + chr(39) + ' || a || chr(1) || b)', 'r', n)}",
+    ]
     return f"""
 WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang, chr(0)) AS a, coalesce(source, chr(0)) AS b FROM documents),
 w AS MATERIALIZED (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
@@ -71,14 +131,10 @@ s AS MATERIALIZED (SELECT docs.r, doc_id, a, b, CAST(len(w) AS BIGINT) AS n_word
   CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM docs JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),
 j AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
-p AS MATERIALIZED (SELECT r, a, b, {vector} FROM j WHERE NOT base_failed),
-c AS (SELECT a, b, count(*) AS n FROM p GROUP BY a, b),
-pool AS (SELECT a, sum(n) AS m FROM c WHERE n < {q.MIN_GROUP} GROUP BY a),
-names AS (SELECT a, b, CASE WHEN n >= {q.MIN_GROUP} THEN 's' || a || chr(1) || b WHEN m >= {q.MIN_GROUP} THEN 'l' || a ELSE '*' END AS g FROM c LEFT JOIN pool USING (a)),
-v AS MATERIALIZED (SELECT r, g, {ys} FROM p JOIN names USING (a, b)),
-{', '.join(steps)},
-far AS (SELECT r, {q.distance_sql()} AS distance FROM v JOIN e{q.STEPS} USING (g))
-SELECT doc_id, {', '.join(q.STATS)}, base_failed, NOT base_failed AND coalesce(distance, 0) <= {q.CUTOFF} AS kept FROM j LEFT JOIN far USING (r)"""
+p AS MATERIALIZED (SELECT r, a, b, {', '.join(f'CAST(round(({x}) * {q.UNIT}) AS BIGINT) AS x{i}' for i, x in enumerate(vector))} FROM j WHERE NOT base_failed),
+pts AS MATERIALIZED (SELECT 'all' AS g, {xs} FROM p UNION ALL SELECT 'lang' || a, {xs} FROM p UNION ALL SELECT 'src' || a || chr(1) || b, {xs} FROM p),
+{', '.join(steps)}
+SELECT doc_id, {', '.join(q.STATS)}, base_failed, NOT base_failed AND d2 <= {q.CUTOFF} AS kept FROM j LEFT JOIN far USING (r)"""
 
 
 #: The marked letters of the tables' languages; DuckDB's edit distance counts bytes, so each becomes a control character.
