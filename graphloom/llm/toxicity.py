@@ -9,9 +9,9 @@ restored text.
 The 4-gram counts come from every document of the input.  They are summed per
 task into a table over a fixed alphabet of 27 symbols, so what reaches the
 driver is bounded by 27**4 counts however large the corpus is.  The classifier
-(a logistic regression over a chosen list of words and word beginnings) is
-fitted on at most ``max_rows`` labelled rows; which ones depends only on a hash
-of their ids.
+(a logistic regression over all words and word beginnings that stand significantly
+more often beside label 1) is fitted on at most ``max_rows`` labelled rows; which
+ones depends only on a hash of their ids.  Spans are decoded whole, however long.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import id_bucket
+from .common import col, cut_lineage, free_name, id_bucket
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: What a sign may stand for (fixed values).
@@ -58,8 +58,9 @@ SUSPECT = re.compile(rb"[a-z][" + _SIGNS + rb"]|[" + _SIGNS + rb"][a-z]|([a-z])\
 #: At least four single characters with one or two separators between each.
 SPACED = re.compile(rb"(?<![a-z0-9])(?:[a-z0-9@$!|+*][ ._\-]{1,2}){3,}[a-z0-9@$!|+*](?![a-z0-9])")
 BLANK = re.compile(rb"\s")
-#: Signs around a token that are punctuation or decoration, not letters.
-_EDGE = re.compile(rb"^(?:[^a-z0-9@$!|+*]|([@$!|+*])\1+)+|(?:[^a-z0-9@$]|([@$])\2\2+)+$")
+#: Signs before a token, and (read backwards) after it, that are punctuation or decoration, not letters.
+_BEFORE = re.compile(rb"(?:[^a-z0-9@$!|+*]|([@$!|+*])\1+)*")
+_AFTER = re.compile(rb"(?:[^a-z0-9@$]|([@$])\1\1+)*")
 
 
 def fold(lowered: str) -> bytes:
@@ -90,7 +91,7 @@ def corpus_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["gram", "n"])
 
-    texts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("t")).where("t is not null")
+    texts = docs.select(col(text_col).cast("binary").alias("t")).where("t is not null")
     sums = texts.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(N**4)
     table[sums["gram"].to_numpy(np.int64)] = sums["n"].to_numpy()
@@ -110,13 +111,19 @@ def char_model(table: np.ndarray, strength: float = 4.0) -> np.ndarray:
 # --- decoding ----------------------------------------------------------------------------
 
 
-def arcs(span: bytes, i: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
-    """Readings that start at character ``i``: characters taken, letter codes (0: border), cost."""
-    c = span[i : i + 1].decode("latin-1")
-    run = 1
-    while span[i + run : i + run + 1] == span[i : i + 1]:
-        run += 1
-    if code := int(_CODE[ord(c)]):
+def run_lengths(span: bytes) -> list[int]:
+    """How many equal characters begin at each place."""
+    out = [1] * len(span)
+    for i in range(len(span) - 2, -1, -1):
+        if span[i] == span[i + 1]:
+            out[i] = out[i + 1] + 1
+    return out
+
+
+def arcs(span: bytes, i: int, run: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
+    """Readings that start at character ``i``, of which ``run`` equal ones stand there: characters taken, letter codes (0: border), cost."""
+    c = chr(span[i])
+    if code := int(_CODE[span[i]]):
         if run == 1:
             yield 1, (code,), 0.0
         else:
@@ -139,14 +146,16 @@ def arcs(span: bytes, i: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
 def viterbi(span: bytes, model: np.ndarray) -> str:
     """The likeliest reading of a folded span, its words separated by blanks.
 
-    Exact: a state is the position and the last three symbols.
+    Exact: a state is the position and the last three symbols.  Time and memory grow
+    with the span; states that nothing leads on from are dropped.
     """
     layers: list[dict[int, tuple[float, tuple | None]]] = [{} for _ in range(len(span) + 1)]
     layers[0][0] = (0.0, None)
+    runs = run_lengths(span)
     for i in range(len(span)):
         if not layers[i]:
             continue
-        steps = list(arcs(span, i))
+        steps = list(arcs(span, i, runs[i]))
         for context, (score, path) in layers[i].items():
             for took, letters, cost in steps:
                 ctx, s, p = context, score - cost, path
@@ -182,21 +191,24 @@ def suspicious_spans(folded: bytes) -> Iterator[bytes]:
         if m.start() < done:
             continue
         start = m.start()
-        while start and not folded[start - 1 : start].isspace():
+        while start > done and not folded[start - 1 : start].isspace():
             start -= 1
         end = BLANK.search(folded, m.end())
         done = end.start() if end else len(folded)
-        core = _EDGE.sub(b"", folded[max(start, 0) : done])
+        core = folded[start:done]
+        core = core[_BEFORE.match(core).end() :]
+        core = core[: len(core) - _AFTER.match(core[::-1]).end()]
         if SUSPECT.search(core):
             yield core
 
 
 @dataclass
 class Decoder:
-    """Decodes spans under one model; readings are kept for spans seen before."""
+    """Decodes spans under one model; readings are kept for short spans seen before."""
 
     model: np.ndarray
     keep: int = 100_000
+    keep_chars: int = 64
 
     def __post_init__(self):
         self._known: dict[bytes, tuple[str, ...]] = {}
@@ -204,9 +216,11 @@ class Decoder:
     def words(self, span: bytes) -> tuple[str, ...]:
         known = self._known.get(span)
         if known is None:
-            if len(self._known) >= self.keep:
-                self._known.clear()
-            known = self._known[span] = tuple(w for part in _pieces(span) for w in viterbi(part, self.model).split())
+            known = tuple(viterbi(span, self.model).split())
+            if len(span) <= self.keep_chars:
+                if len(self._known) >= self.keep:
+                    self._known.clear()
+                self._known[span] = known
         return known
 
     def restored(self, text: str) -> Counter:
@@ -218,15 +232,11 @@ class Decoder:
         return words
 
 
-def _pieces(span: bytes, size: int = 256) -> Iterator[bytes]:
-    """Very long unbroken spans are decoded in stretches of ``size`` characters."""
-    for i in range(0, len(span), size):
-        yield span[i : i + size]
-
-
 # --- the classifier ----------------------------------------------------------------------
 
 PREFIXES = (4, 5, 6)
+#: The labelled sample is decoded in so many tasks.
+_TRAINING_TASKS = 32
 
 
 def features(word: str) -> Iterator[str]:
@@ -265,55 +275,89 @@ def _hits(words: Counter, vocabulary: dict[str, int], known: dict[str, tuple[int
     return found
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.02, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression by Newton's method."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x1.shape[1]), np.full(x1.shape[1], l2)
-    ridge[-1] = 1e-6
+def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, l2: float = 0.02, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression of ``width`` sparse columns, entries (rows, cols, values), by Newton's method.
+
+    Steps are solved by conjugate gradients, so no matrix of features is ever formed.
+    """
+    n = len(y)
+
+    def times(w):
+        return np.bincount(rows, values * w[cols], n) + w[-1]
+
+    def back(r):
+        return np.append(np.bincount(cols, values * r[rows], width), r.sum())
+
+    w, ridge = np.zeros(width + 1), np.append(np.full(width, l2), 1e-6)
+
+    def loss(w):
+        z = times(w)
+        return (np.logaddexp(0, z) - y * z).sum() + (ridge * w * w).sum() / 2
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        grad = x1.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(ridge), grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        p = 1.0 / (1.0 + np.exp(-np.clip(times(w), -30, 30)))
+        grad, weight = back(p - y) + ridge * w, p * (1 - p) + 1e-9
+        scale = 1.0 / (np.append(np.bincount(cols, values * values * weight[rows], width), weight.sum()) + ridge)
+        step, r = np.zeros(width + 1), grad.copy()
+        z = scale * r
+        d, rz = z.copy(), r @ z
+        for _ in range(4 * (width + 1)):
+            if rz <= 1e-20 * max(1.0, grad @ grad):
+                break
+            h = back(weight * times(d)) + ridge * d
+            a = rz / (d @ h)
+            step += a * d
+            r -= a * h
+            z = scale * r
+            rz, old = r @ z, rz
+            d = z + rz / old * d
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w, before = w - size * step, now
+        now = loss(w)
+        if np.abs(step).max() < 1e-8 or before - now < 1e-12 * max(1.0, before):
             break
     return w[:-1], float(w[-1])
 
 
 def training_rows(labels: DataFrame, label_col: str, usable: Column, max_rows: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``max_rows`` labelled ids, picked by a hash of the id; one row an id, the higher label wins."""
-    rows = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
-    return rows.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+    rows = labels.where(usable & col(label_col).isNotNull() & col(id_col).isNotNull())
+    rows = rows.groupBy(col(id_col).alias("id")).agg(F.max(col(label_col).cast("int")).alias("y"))
+    return rows.orderBy(F.xxhash64("id"), "id").limit(max_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 10_000, max_features: int = 512) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 10_000, min_g2: float = 15.0) -> Model:
     """Count characters over all of ``docs``, then fit the classifier on labelled rows.
 
-    ``max_rows`` bounds the labelled sample and ``max_features`` the list of
-    words and beginnings.  Without labels of both kinds every score is the share
-    of label 1 (0 if there are no labels at all).
+    ``max_rows`` bounds the labelled sample: one row an id, that with the least text
+    where rows of ``docs`` share an id.  Words and beginnings are used whose log
+    likelihood ratio against the label is above ``min_g2``, however many they are.
+    Without labels of both kinds every score is the share of label 1 (0 if there are
+    no labels at all).  Null texts count as empty; rows without an id are not learned from.
     """
     spark = docs.sparkSession
     chars = char_model(corpus_grams(docs, text_col))
     shared = spark.sparkContext.broadcast(chars)
     sample = F.broadcast(training_rows(labels, label_col, usable, max_rows, id_col))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__t")).join(sample, "__id").select("__t", "__y")
+    met = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("binary"), F.lit(b"")).alias("t")).join(sample, "id")
+    rows = cut_lineage(met.groupBy("id", "y").agg(F.min("t").alias("t")).select("t", "y").repartition(_TRAINING_TASKS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, seen = Decoder(shared.value), Counter()
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = decoder.restored((t or b"").decode("utf-8", "replace"))
+                words = decoder.restored(t.decode("utf-8", "replace"))
                 seen.update((f, y) for f in {f for w in words for f in features(w)})
-                seen[("", y)] += 1
         # what is in one document of this task only can still add up elsewhere, so all goes out
         names, ys = zip(*seen) if seen else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ys, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["f", "y", "n"])
 
     one = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0))
     per = rows.mapInArrow(count, "f string, y int, n long").groupBy("f").agg(one.alias("a"), (F.sum("n") - one).alias("b"))
-    totals = rows.groupBy().agg(F.coalesce(F.sum(F.col("__y")), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
+    totals = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     pos, neg = int(totals["p"]), int(totals["n"] - totals["p"])
     if not pos or not neg:
         share = min(max(pos / max(pos + neg, 1), 1e-6), 1 - 1e-6)
@@ -322,9 +366,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable: Column, label_col: str =
     def g2(k: Column, total: int) -> Column:
         return F.when(k > 0, k * F.log(k * (pos + neg) / ((F.col("a") + F.col("b")) * total))).otherwise(0.0)
 
-    chosen = per.where((F.col("f") != "") & (F.col("a") + F.col("b") >= 3)).withColumn("g", 2 * (g2(F.col("a"), pos) + g2(F.col("b"), neg)))
-    chosen = chosen.where((F.col("g") > 15) & (F.col("a") * neg > F.col("b") * pos)).orderBy(F.col("g").desc(), "f").limit(max_features)
-    vocabulary = {r["f"]: i for i, r in enumerate(chosen.collect())}
+    chosen = per.withColumn("g", 2 * (g2(F.col("a"), pos) + g2(F.col("b"), neg))).where((F.col("g") > min_g2) & (F.col("a") * neg > F.col("b") * pos))
+    vocabulary = {f: i for i, f in enumerate(sorted(r["f"] for r in chosen.select("f").collect()))}
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,23 +375,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable: Column, label_col: str =
         for batch in batches:
             out = []
             for t in batch.column(0).to_pylist():
-                words = decoder.restored((t or b"").decode("utf-8", "replace"))
+                words = decoder.restored(t.decode("utf-8", "replace"))
                 x = _hits(words, shared_vocabulary.value, known)
-                out.append(x | {-1: words.total()} if x else x)
-            yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in out], pa.list_(pa.int32())), pa.array([list(x.values()) for x in out], pa.list_(pa.int64())), batch.column(1)], names=["i", "n", "y"])
-
-    got = rows.mapInArrow(hits, "i array<int>, n array<long>, y int").collect()
-    x, y = np.zeros((len(got), len(vocabulary) + 1)), np.array([r["y"] for r in got], float)
-    for row, r in zip(x, got, strict=True):
-        row[r["i"]] = np.log1p(r["n"])
-    weights, bias = logistic(x, y)
+                out.append(x | {len(shared_vocabulary.value): words.total()} if x else x)
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(x) for x in out], pa.list_(pa.int32())), pa.array([[x[i] for i in sorted(x)] for x in out], pa.list_(pa.int64())), batch.column(1)], names=["i", "n", "y"])
+
+    got = sorted((r["y"], r["i"], r["n"]) for r in rows.mapInArrow(hits, "i array<int>, n array<long>, y int").collect())
+    at = np.repeat(np.arange(len(got)), [len(i) for _, i, _ in got])
+    cols = np.array([i for _, x, _ in got for i in x], np.int64)
+    values = np.log1p(np.array([n for _, _, x in got for n in x], float))
+    weights, bias = logistic(at, cols, values, np.array([y for y, *_ in got], float), len(vocabulary) + 1)
     return Model(chars, vocabulary, weights, bias)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
-    """Add the probability of label 1 to every row; nulls and empty texts are scored as no words."""
-    df = docs.drop(score_col)
-    carried = df.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")))
+    """Add the probability of label 1 to every row; nulls and empty texts are scored as no words.
+
+    A score depends on the text alone, so repeated rows score alike.  An input column
+    of the score's name is replaced, all others pass through.
+    """
+    df = docs.select(*[col(c) for c in docs.columns if c != score_col])
+    carried = df.select("*", F.coalesce(col(text_col).cast("binary"), F.lit(b"")).alias(free_name(df, "__text")))
     shared, names = df.sparkSession.sparkContext.broadcast(model), [*df.columns, score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,4 +412,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
-    return id_bucket(F.col(id_col), folds) == fold
+    return id_bucket(col(id_col), folds) == fold

@@ -25,10 +25,11 @@ def brute(span, model):
     """The best reading by trying all paths through the lattice."""
 
     def paths(i):
+        run = len(span[i:]) - len(span[i:].lstrip(span[i : i + 1])) if i < len(span) else 0
         if i == len(span):
             yield (), 0.0
         else:
-            for took, letters, cost in toxicity.arcs(span, i):
+            for took, letters, cost in toxicity.arcs(span, i, run):
                 for rest, more in paths(i + took):
                     yield letters + rest, cost + more
 
@@ -67,6 +68,27 @@ def test_very_long_spans(model):
     toxicity.Decoder(model).restored("a1" * 2000 + " " + "x " * 2000 + "é" * 50_000)
 
 
+@pytest.mark.parametrize("before", [1, 41, 42, 43, 500])
+def test_hidden_words_anywhere_in_a_long_span(model, before):
+    span = "river-" * before + "1d10t-" + "water-" * 40 + "house"
+    assert toxicity.Decoder(model).restored(span)["idiot"] == 1
+
+
+def test_time_grows_with_the_span(model):
+    for text in ("x1" + "!" * 200_000 + "a", "a" + "-" * 200_000 + "b1d", "1d" + "@" * 100_000, "*" * 100_000 + "st*pid"):
+        toxicity.Decoder(model).restored(text)
+
+
+def test_logistic_meets_its_optimum():
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((200, 12)) < 0.3, rng.random((200, 12)), 0.0)
+    y = (rng.random(200) < 1 / (1 + np.exp(-(x @ rng.normal(0, 3, 12) - 0.5)))).astype(float)
+    at, cols = np.nonzero(x)
+    w, bias = toxicity.logistic(at, cols, x[at, cols], y, 12)
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    assert x.T @ (p - y) + 0.02 * w == pytest.approx(np.zeros(12), abs=1e-6) and (p - y).sum() == pytest.approx(0, abs=1e-4)
+
+
 def test_scores(spark):
     rng = random.Random(2)
     docs, labels = [], []
@@ -89,6 +111,15 @@ def test_scores(spark):
     by = {r["doc_id"]: r["toxicity"] for r in got}
     assert all((by[i] >= 0.5) == bool(y) for i, y in labels)
     assert by[1000] < 0.5 and by[1001] < 0.5 and by[None] > 0.5
+    decoder = toxicity.Decoder(model.chars)
+    for r in got[::17]:
+        n, words = {}, decoder.restored(r["text"] or "")
+        for word in words.elements():
+            for f in (word, *(word[:k] + "-" for k in (4, 5, 6) if len(word) > k)):
+                if f in model.vocabulary:
+                    n[f] = n.get(f, 0) + 1
+        z = model.bias + sum(model.weights[model.vocabulary[f]] * np.log(1 + c) for f, c in n.items()) + (model.weights[-1] * np.log(1 + words.total()) if n else 0)
+        assert r["toxicity"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
     none = toxicity.fit(d.limit(0), lab.limit(0), usable=F.lit(True))
     assert toxicity.score(d.limit(0), none).count() == 0
     assert toxicity.score(d, none).agg(F.max("toxicity")).first()[0] < 0.01
