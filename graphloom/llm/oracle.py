@@ -18,7 +18,7 @@ def _words(text: str) -> str:
 
 def license_sql() -> str:
     phrases = ", ".join(f"(string_split({_quoted(p)}, ' '), {_quoted(label)})" for p, label in license_scan.PHRASES.items())
-    templates = ", ".join(f"({i}, {_quoted(label)}, list_distinct({_words(_quoted(t))}))" for i, (label, t) in enumerate(license_scan.TEMPLATES))
+    templates = ", ".join(f"({i}, {_quoted(label)}, {_words(_quoted(t))})" for i, (label, t) in enumerate(license_scan.TEMPLATES))
     return f"""
 WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS MATERIALIZED (SELECT r, doc_id, {_words('text')} AS w FROM docs),
@@ -26,16 +26,18 @@ p(p, label) AS (VALUES {phrases}),
 places AS MATERIALIZED (SELECT r, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i : i + len(p) - 1] = p)) - 1 AS spot
   FROM (SELECT r, w FROM w), p),
 base AS (SELECT r, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word FROM places GROUP BY r),
-t(t, label, tw) AS MATERIALIZED (SELECT * FROM (VALUES {templates})),
+t(t, label, tl) AS MATERIALIZED (SELECT * FROM (VALUES {templates})),
+tw AS MATERIALIZED (SELECT t, label, list_distinct(tl) AS tw, len(tl) AS size, greatest(1, ceil({license_scan.THRESHOLD}::DOUBLE * len(list_distinct(tl)) - 1e-9)) AS need FROM t),
 lines AS MATERIALIZED (SELECT r, {_words('line')} AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
-met AS MATERIALIZED (SELECT r, label, shared / CAST(n AS DOUBLE) AS share FROM
-  (SELECT r, label, len(list_intersect(lw, tw)) AS shared, len(tw) AS n FROM lines, t)
-  WHERE shared >= greatest(1, ceil({license_scan.THRESHOLD}::DOUBLE * n - 1e-9))),
-best AS (SELECT r, max(share) AS share, count(*) AS n_blocks FROM met GROUP BY r),
+whole AS MATERIALIZED (SELECT r, t, label, w, tw, size, need FROM w, tw WHERE len(list_intersect(w, tw)) >= need),
+runs AS MATERIALIZED (SELECT r, label, tw, need, list_max(list_transform(range(1, greatest(1, len(w) - size + 1) + 1), lambda i: len(list_intersect(w[i : i + size - 1], tw)))) AS shared FROM whole),
+met AS MATERIALIZED (SELECT r, label, shared / CAST(len(tw) AS DOUBLE) AS share FROM
+  (SELECT r, label, tw, need, len(list_intersect(lw, tw)) AS shared FROM lines JOIN whole USING (r) UNION ALL SELECT r, label, tw, need, shared FROM runs) WHERE shared >= need),
+best AS (SELECT r, max(share) AS share FROM met GROUP BY r),
 labels AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM met) GROUP BY r),
 base_labels AS (SELECT r, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT r, label FROM places) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
-  coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score, coalesce(n_blocks, 0) AS n_blocks
+  coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
 FROM w LEFT JOIN base USING (r) LEFT JOIN best USING (r) LEFT JOIN labels USING (r) LEFT JOIN base_labels USING (r)"""
 
 

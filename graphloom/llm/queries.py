@@ -43,7 +43,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license_scan.scan(docs).drop("text")
+    return license_scan.scan(docs).drop("text", "blocks")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
