@@ -58,7 +58,7 @@ def test_planted_passages(spark):
     pairs = decontam.contaminated_pairs(d, b).collect()
     assert {(r["doc_id"], r["item_id"]) for r in pairs} == want and len(pairs) == len(want) + 1
     assert all(r["coverage"] == 1.0 for r in pairs)
-    small = decontam.contaminated_pairs(d, b, block_bytes=300).collect()
+    small = decontam.contaminated_pairs(d, b, block_bytes=2000).collect()
     assert sorted(map(tuple, small)) == sorted(map(tuple, pairs))
     kept = decontam.clean(d, b)
     assert kept.columns == d.columns and kept.count() == len(docs) - len(want) - 1
@@ -74,3 +74,34 @@ def test_hidden_by_a_changed_word(spark):
     b = spark.createDataFrame([("a", " ".join(p))], "item_id string, text string")
     r = decontam.contaminated_pairs(d, b).first()
     assert (r["n_tiles"], r["covered_words"]) == (2, 39)
+
+
+def test_windows_of_any_length_hash_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(1, 4, 300)
+    r = decontam.Rolling(x)
+    for k in (1, 2, 7, 64, 299):
+        seen = {}
+        for i, h in enumerate(r.windows(k).tolist()):
+            assert seen.setdefault(h, tuple(x[i : i + k])) == tuple(x[i : i + k])
+        assert len(seen) == len({tuple(x[i : i + k]) for i in range(len(x) - k + 1)})
+
+
+def test_repeated_words_take_no_quadratic_time():
+    block = decontam.Block([(0, b"a " * 400), (1, b"a " * 30 + b"b " + b"a " * 20), (2, b"c d e f g h " * 50)], 5)
+    got = {i: (n, c) for i, n, c, _ in block.matches(b"a " * 1_000_000, 0.8)}
+    assert got == {0: (1, 400), 1: (2, 50)}
+    got = block.matches(b"c d e f g h " * 100_000 + b"a " * 100_000 + b"b " * 3, 0.8)
+    assert [(i, c) for i, _, c, _ in got] == [(0, 400), (1, 51), (2, 300)]
+
+
+def test_a_hot_text_of_the_benchmark_is_held_once(spark):
+    rng = random.Random(10)
+    p, q = passage(rng, 40), passage(rng, 4000)
+    b = spark.createDataFrame([(i, " ".join(p)) for i in range(500)] + [(500, " ".join(q))], "item_id long, text string")
+    d = spark.createDataFrame([(1, " ".join(["x", *p, "y"])), (2, " ".join(q)), (3, "clean words only, nothing to find here")], "doc_id long, text string")
+    pairs = decontam.contaminated_pairs(d, b, block_bytes=1000)
+    assert sorted((r["doc_id"], r["item_id"]) for r in pairs.collect()) == [(1, i) for i in range(500)] + [(2, 500)]
+    assert [r["doc_id"] for r in decontam.clean(d, b, block_bytes=1000).collect()] == [3]
