@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import col, free_name
+
 #: A letter or digit, then a blank, line feed or ASCII punctuation: always a border of two matches.
 SAFE = re.compile(r"(?<=[A-Za-z0-9])[\x20\n!-/:-@\[-\x60{-~]")
 BLOCK_CHARS = 1 << 15
 
-_codecs: dict[tuple[int, int], Codec] = {}
+_codecs: dict[tuple[bytes, str], Codec] = {}
 
 
 def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
@@ -64,7 +66,7 @@ class Codec:
 
 def codec(rank_file: bytes, pattern: str) -> Codec:
     """The codec of this worker process, built once."""
-    key = (hash(rank_file), hash(pattern))
+    key = (hashlib.sha256(rank_file).digest(), pattern)
     if key not in _codecs:
         _codecs[key] = Codec(rank_file, pattern)
     return _codecs[key]
@@ -72,11 +74,11 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
 
 def _with(df: DataFrame, text_col: str, rank_path: str, pattern: str, fields: list[T.StructField], make) -> DataFrame:
     """``df`` with its text replaced on the way by ``make(codec, text)``'s columns."""
-    new = {f.name for f in fields}
-    if clash := new & set(df.columns):
-        df = df.drop(*clash)
+    text = F.coalesce(col(text_col).cast("binary"), F.lit(b""))
+    kept = [col(c) for c in df.columns if c not in {f.name for f in fields}]
+    carried = df.select(*kept, text.alias(free_name(df, "__text")))
+    df = df.select(*kept)
     ranks = df.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
-    carried = df.withColumn("__text", F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")))
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +110,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "token_id
             out = pa.array([None if x is None else c.decode(x) for x in ids], type=pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)
 
-    df = df.drop(bytes_col)
+    df = df.select(*[col(c) for c in df.columns if c != bytes_col])
     at, names = df.columns.index(ids_col), [*df.columns, bytes_col]
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
