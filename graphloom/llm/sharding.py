@@ -15,12 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import cut_lineage
+from .common import boxed, col, cut_lineage, unboxed
 
 #: numpy's sampler takes populations below this.
 _NUMPY_LIMIT = 10**9
@@ -79,48 +79,44 @@ def assign(rows: DataFrame, n_shards: int, seed: int = 42) -> DataFrame:
     ``rows`` should be narrow (ids and sizes; texts can be joined or written
     later): it is written once to the checkpoint folder, which fixes row numbers.
     Rows are dealt by place, never by value, so nulls, ties, repeated rows and hot
-    groups are as good as any others.  An empty table gives an empty result.
+    groups are as good as any others.  An empty table gives an empty result.  Input
+    columns named ``shard`` or ``slot`` are replaced, all others pass through.
     """
     spark = rows.sparkSession
     names = [c for c in rows.columns if c not in ("shard", "slot")]
-    base = rows.select(*names, F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__row"))
-    base = cut_lineage(base)
-    counts = {r["__p"]: r["n"] for r in base.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one a partition
+    base = cut_lineage(rows.select(boxed(rows, names), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("n")))
+    counts = {r["p"]: r["n"] for r in base.groupBy("p").agg(F.count("*").alias("n")).collect()}  # one a partition
     parts, total = sorted(counts), sum(counts.values())
     matrix = communication_matrix([counts[p] for p in parts], shard_sizes(total, n_shards), seed)
     shared = spark.sparkContext.broadcast({p: matrix[i] for i, p in enumerate(parts)})
     kind = np.min_scalar_type(max(n_shards - 1, 1))
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hands: dict[int, np.ndarray] = {}
         for batch in batches:
-            shard = np.empty(len(batch), np.int32)
+            part = batch.column(1).to_numpy()
             # a partition's rows are numbered in order from p << 33
-            place = batch["__row"].to_numpy() & ((1 << 33) - 1)
-            for p in batch["__p"].unique():
+            place, shard = batch.column(2).to_numpy() & ((1 << 33) - 1), np.empty(batch.num_rows, np.int32)
+            for p in np.unique(part).tolist():
                 if p not in hands:
-                    hands[p] = np.random.default_rng((seed, 1, int(p))).permutation(np.repeat(np.arange(n_shards, dtype=kind), shared.value[p]))
-                at = (batch["__p"] == p).to_numpy()
+                    hands[p] = np.random.default_rng((seed, 1, p)).permutation(np.repeat(np.arange(n_shards, dtype=kind), shared.value[p]))
+                at = part == p
                 shard[at] = hands[p][place[at]]
-            yield batch.assign(shard=shard)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shard)], names=["row", "n", "shard"])
 
-    dealt = base.mapInPandas(deal, _with_shard(base))
+    dealt = base.mapInArrow(deal, StructType([base.schema["row"], base.schema["n"], StructField("shard", IntegerType())]))
     # A random key orders each shard; its upper part cuts the shard into groups that are permuted one by one.
     n_groups = max(1, -(-total // (n_shards * ROWS_PER_GROUP)))
-    keyed = dealt.withColumn("__key", F.xxhash64("__row", F.lit(seed))).withColumn("__g", F.pmod(F.xxhash64("__row", F.lit(seed + 1)), F.lit(n_groups)).cast("int"))
-    sizes = keyed.groupBy("shard", "__g").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("shard"), F.col("__g"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    local = F.row_number().over(Window.partitionBy("shard", "__g").orderBy("__key", "__row")) - 1
-    placed = keyed.withColumn("__local", local).join(offsets, ["shard", "__g"])
-    return placed.select(*names, "shard", (F.col("__offset") + F.col("__local")).alias("slot"))
-
-
-def _with_shard(df: DataFrame) -> StructType:
-    return StructType([*df.schema.fields, StructField("shard", IntegerType())])
+    keyed = dealt.select("row", "shard", "n", F.xxhash64("n", F.lit(seed)).alias("key"), F.pmod(F.xxhash64("n", F.lit(seed + 1)), F.lit(n_groups)).cast("int").alias("g"))
+    sizes = keyed.groupBy("shard", "g").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("shard").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", "g", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"))
+    local = F.row_number().over(Window.partitionBy("shard", "g").orderBy("key", "n")) - 1
+    placed = keyed.select("row", "shard", "g", local.alias("local")).join(offsets, ["shard", "g"])
+    return placed.select(*unboxed(names), "shard", (F.col("offset") + F.col("local")).alias("slot"))
 
 
 def document_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Narrow rows to deal: the id, the size (UTF-8 bytes and 8; null: 8) and the text's CRC-32 (null: 0)."""
-    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return docs.select(F.col(id_col), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    data = F.coalesce(col(text_col).cast("binary"), F.lit(b""))
+    return docs.select(col(id_col).alias("doc_id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
