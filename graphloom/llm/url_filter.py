@@ -6,10 +6,12 @@ event), and every capture is held against the entries that were active when it w
 fetched.  An entry names a host suffix, so a host is looked up under itself and
 each of its parent domains.
 
-The as-of join is an equi-join on (entry, month) with the interval as a residual:
-intervals are entered under every month they touch, so even a host that a third of
-all captures share is spread over the months it was fetched in, and skewed months
-can be split.  Nothing is broadcast unless Spark's own size check does so.
+Hosts are looked up once each: the distinct hosts' suffixes, as many labels long as
+some entry is, are held against the entries, and only captures of a host that has any
+go on.  The as-of join is an equi-join on (entry, month) with the interval as a
+residual: intervals are entered under every month they touch, so even a host that a
+third of all captures share is spread over the months it was fetched in, and skewed
+months can be split.  Tables are broadcast only after a count has shown them small.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import boxed, col, cut_lineage, small_side, unboxed
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 def host_of(url_col: str = "url"):
     """Lower-case host of a URL, without user, port or trailing dot; null if there is none."""
-    host = F.rtrim(F.lower(F.regexp_extract(F.col(url_col), HOST, 1)), F.lit("."))
+    host = F.rtrim(F.lower(F.regexp_extract(col(url_col), HOST, 1)), F.lit("."))
     return F.when(host == "", F.lit(None)).otherwise(host)
 
 
@@ -45,46 +49,57 @@ def validity_intervals(events: DataFrame) -> DataFrame:
     return spans.where("listed").drop("listed")
 
 
-def active_entries(captures: DataFrame, events: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
-    """One row for each capture and entry that was active at its fetch date; an entry's last day is the day before its end."""
-    spans = validity_intervals(events)
-    horizon = captures.agg(F.max(time_col).alias("hi"), F.min(time_col).alias("lo")).first()
+#: What the filter adds to a capture.
+VERDICT = ("blocked", "n_active", "entries", "categories")
+
+
+def listed_suffixes(hosts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(host, entry): the ``entries`` (entry) that are a host of ``hosts`` (host) or one of its parent domains."""
+    lengths = [r["n"] for r in entries.select(F.size(F.split("entry", "[.]")).alias("n")).distinct().collect()]  # a few numbers
+    wanted = F.filter(F.expr(suffixes()), lambda x: F.size(F.split(x, "[.]")).isin(lengths))
+    return hosts.distinct().select("host", F.explode(wanted).alias("entry")).join(small_side(entries), "entry", "left_semi")
+
+
+def active_entries(captures: DataFrame, events: DataFrame) -> DataFrame:
+    """One row for each of ``captures`` (k, url, at) and entry that was active at its date; an entry's last day is the day before its end."""
+    spans = cut_lineage(validity_intervals(events))
+    horizon = captures.agg(F.max("at").alias("hi"), F.min("at").alias("lo")).first()
     if horizon["hi"] is None:
         spans, lo, hi = spans.where(F.lit(False)), F.current_date(), F.current_date()
     else:
-        lo, hi = F.lit(horizon["lo"]).cast("date"), F.lit(horizon["hi"]).cast("date")
+        lo, hi = F.lit(horizon["lo"]), F.lit(horizon["hi"])
     first, end = F.greatest("valid_from", lo), F.least(F.coalesce("valid_to", F.date_add(hi, 1)), F.date_add(hi, 1))
-    touched = spans.select("*", first.alias("__a"), F.date_sub(end, 1).alias("__b")).where("__a <= __b")
-    months = F.sequence(F.trunc("__a", "month"), F.trunc("__b", "month"), F.expr("interval 1 month"))
-    entered = touched.select("entry", "category", "valid_from", "valid_to", F.explode(months).alias("__month"))
-    looked = captures.withColumn("host", host_of(url_col)).where("host is not null")
-    looked = looked.select("*", F.explode(F.expr(suffixes())).alias("entry"), F.trunc(time_col, "month").alias("__month"))
-    at = F.col(time_col).cast("date")
-    met = looked.join(entered, ["entry", "__month"]).where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))))
-    return met.drop("__month")
+    touched = spans.select("*", first.alias("a"), F.date_sub(end, 1).alias("b")).where("a <= b")
+    months = F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))
+    entered = touched.select("entry", "category", "valid_from", "valid_to", F.explode(months).alias("month"))
+    looked = captures.select("*", host_of("url").alias("host")).where("host is not null and at is not null")
+    named = cut_lineage(listed_suffixes(looked.select("host"), touched.select("entry").distinct()))
+    met = looked.join(small_side(named), "host").withColumn("month", F.trunc("at", "month")).join(entered, ["entry", "month"])
+    return met.where("valid_from <= at and (valid_to is null or at < valid_to)").drop("month")
 
 
 def filter_captures(captures: DataFrame, events: DataFrame, key_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """Every capture with ``blocked``, ``n_active``, ``entries`` (distinct, sorted, comma-joined) and ``categories``.
 
-    Captures are matched by (key, URL, time); equal ones decide alike.  Captures
+    Captures are matched by (key, URL, date); equal ones decide alike.  Captures
     without a URL, host or time, and captures that meet no entry, are not blocked.
+    Input columns of the added names are replaced, all others pass through.
     """
-    slim = captures.select(key_col, url_col, time_col).distinct()
-    met = active_entries(slim, events, url_col, time_col)
-    each = met.groupBy(key_col, url_col, time_col).agg(
+    own = [c for c in captures.columns if c not in VERDICT]
+    keyed = captures.select(boxed(captures, own), col(key_col).alias("k"), col(url_col).alias("url"), col(time_col).cast("date").alias("at"))
+    met = active_entries(keyed.select("k", "url", "at").distinct(), events)
+    each = met.groupBy("k", "url", "at").agg(
         F.count("*").alias("n_active"),
         F.array_join(F.array_sort(F.collect_set("entry")), ",").alias("entries"),
         F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"),
     )
-    left, right = captures.alias("c"), each.alias("e")
-    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (key_col, url_col, time_col)]
-    own = [c for c in captures.columns if c not in ("blocked", "n_active", "entries", "categories")]
-    joined = left.join(right, same[0] & same[1] & same[2], "left")
+    left, right = keyed.alias("c"), each.alias("e")
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ("k", "url", "at")]
+    joined = left.join(right, same[0] & same[1] & same[2], "left").select("row", "n_active", "entries", "categories")
     return joined.select(
-        *[F.col(f"c.{c}") for c in own],
-        F.col("e.n_active").isNotNull().alias("blocked"),
-        F.coalesce("e.n_active", F.lit(0)).cast("long").alias("n_active"),
-        F.coalesce("e.entries", F.lit("")).alias("entries"),
-        F.coalesce("e.categories", F.lit("")).alias("categories"),
+        *unboxed(own),
+        F.col("n_active").isNotNull().alias("blocked"),
+        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
+        F.coalesce("entries", F.lit("")).alias("entries"),
+        F.coalesce("categories", F.lit("")).alias("categories"),
     )
