@@ -1,33 +1,39 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line of at least ``MIN_CHARS`` characters goes if an equal line stands earlier in
-the corpus, or another line within ``EDITS`` edits first stands earlier (documents in
-order of id, lines in order of place).  If two lines are within t edits and one is
-cut into t + 1 segments, some segment stands unchanged in the other, shifted by no
-more than the edits allow.  So each distinct line indexes its t + 1 segments by
-(length, segment number, hash) and probes, for every length up to t shorter, only
-the few substrings whose shift can still be paid for.  Pairs that meet are verified
-by a banded bit-parallel edit distance: 2 t + 1 diagonals in one machine word, one
-step a character.
-
-Only hashes of segments are shuffled; texts of lines are fetched for candidate
-pairs alone.  Copies of a line are merged before anything is joined, so a line that
-a third of all documents share costs no more than another.  Where many distinct
-lines share a segment, no pairs are formed: semi-joins on the segment tell which of
-them have an earlier near one.
+A line that is not blank goes if an equal line stands earlier in the corpus, or another
+line within t edits first stands earlier (documents in order of id, lines in order of
+place).  t is EDITS where the shorter of two lines has ``MIN_CHARS`` characters or more,
+1 from half as many on, and 0 below.  If two lines are within t edits and one is cut into
+t + 1 segments, some segment stands unchanged in the other, shifted by no more than the
+edits allow.  So each distinct line indexes its t + 1 segments by (length, segment number,
+hash) and probes, for every length up to t shorter, only the few substrings whose shift
+can still be paid for.  Pairs that meet are verified by a banded bit-parallel edit
+distance: 2 t + 1 diagonals in one machine word, one step a character.
+
+Only hashes of segments are shuffled; texts of lines are fetched for candidate pairs
+alone, and only if the letters they have an odd number of allow for the edits.  Copies of
+a line are merged before anything is joined, so a line that a third of all documents
+share costs no more than another; a distinct line is named by a number given once.
+
+Keys that over ``HOT_KEY`` distinct lines index are counted first and give no pairs.  Their
+lines are cut anew without the segment that they share: what is left is within the same
+edits, so the same two sets of keys find all pairs.  Lines that are still many to a key
+tell by semi-joins, split into parts, which of them have an earlier near one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, cut_lineage, small_side
+from .common import boxed, col, content_key, cut_lineage, small_side
 
 EDITS = 2
 MIN_CHARS = 24
-#: Segment keys that over so many distinct lines index give members for a semi-join instead of pairs.
+#: Segment keys that over so many distinct lines index give no pairs.
 HOT_KEY = 16
+#: Lines of one key that a task of the last semi-joins compares with all others of the key.
+HOT_PART = 2048
 
 
 def segment_bounds(n: str, edits: int = EDITS) -> list[tuple[str, str]]:
@@ -42,22 +48,71 @@ def segment_bounds(n: str, edits: int = EDITS) -> list[tuple[str, str]]:
     return out
 
 
-def index_keys(line: str = "line", n: str = "n", edits: int = EDITS) -> str:
+def edits_of(n: str) -> str:
+    """SQL of the edits that a line of ``n`` characters allows for."""
+    return f"case when {n} >= {MIN_CHARS} then {EDITS} when {n} >= {MIN_CHARS // 2} then least(1, {EDITS}) else 0 end"
+
+
+def index_segments(n: str, edits: int) -> list[tuple[str, str, str]]:
+    """SQL of (what a key tells beside the segment, start from 0, length) of each key that a line of ``n`` characters is indexed by."""
+    return [(f"{n}, {i}", s, q) for i, (s, q) in enumerate(segment_bounds(n, edits))]
+
+
+def probe_segments(n: str, edits: int, shorter: int) -> list[tuple[str, str, str]]:
+    """The same for the keys under which lines ``shorter`` characters shorter and within ``edits`` edits are indexed."""
+    m, out = f"({n} - {shorter})", []
+    for i, (s, q) in enumerate(segment_bounds(m, edits)):
+        # i edits may lie before segment i, edits - i after it; so many characters are deleted in all
+        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+            out.append((f"{m}, {i}", f"greatest({s} + {shift}, 0)", q))
+    return out
+
+
+def _array(items: list[str], kind: str) -> str:
+    return f"cast(array({', '.join(items)}) as array<{kind}>)"
+
+
+def _hash(of: tuple[str, str, str], line: str, salt: str) -> str:
+    what, start, length = of
+    return f"xxhash64({salt}{what}, substring({line}, {start} + 1, {length}))"
+
+
+def _by_class(n: str, make) -> str:
+    """SQL of the array of what ``make(edits)`` lists, by the edits that ``n`` characters allow for."""
+    branches = " ".join(f"when {edits_of(n)} = {t} then {make(t)}" for t in range(EDITS, 0, -1))
+    return f"case {branches} else {make(0)} end"
+
+
+def index_keys(line: str = "line", n: str = "n", edits: int | None = None, salt: str = "") -> str:
     """SQL of the array of index keys of a line."""
-    keys = [f"xxhash64({n}, {i}, substring({line}, {s} + 1, {q}))" for i, (s, q) in enumerate(segment_bounds(n, edits))]
-    return f"array({', '.join(keys)})"
+    of = lambda t: _array([_hash(x, line, salt) for x in index_segments(n, t)] if t else [], "bigint")
+    return _by_class(n, of) if edits is None else of(edits)
+
+
+def probe_keys(line: str = "line", n: str = "n", edits: int | None = None, salt: str = "") -> str:
+    """SQL of the array of keys under which lines within their edits and not longer than this one are indexed."""
+    if edits is not None:
+        return _array([_hash(x, line, salt) for d in range(edits + 1) for x in probe_segments(n, edits, d)], "bigint")
+    parts = []
+    for d in range(EDITS + 1):
+        of = lambda t, d=d: _array([_hash(x, line, salt) for x in probe_segments(n, t, d)] if d <= t and t else [], "bigint")
+        parts.append(_by_class(f"({n} - {d})", of))
+    return f"concat({', '.join(parts)})"
+
+
+def _rests(segments, line: str, n: str, m: str, t: int) -> str:
+    """SQL of the array of (key, rest, edits) of ``segments``: the line without the segment, beside its key."""
+    items = [f"named_struct('key', {_hash(x, line, '')}, 'rest', concat(substring({line}, 1, {x[1]}), substring({line}, {x[1]} + {x[2]} + 1)), 't', {t})" for x in segments]
+    return _array(items if t else [], "struct<key:bigint,rest:string,t:int>")
 
 
-def probe_keys(line: str = "line", n: str = "n", edits: int = EDITS) -> str:
-    """SQL of the array of keys under which lines within ``edits`` edits and not longer than this one are indexed."""
-    keys = []
-    for d in range(edits + 1):
-        m = f"({n} - {d})"
-        for i, (s, q) in enumerate(segment_bounds(m, edits)):
-            # i edits may lie before segment i, edits - i after it; d characters are deleted in all
-            for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                keys.append(f"xxhash64({m}, {i}, substring({line}, greatest({s} + {shift}, 0) + 1, {q}))")
-    return f"array({', '.join(keys)})"
+def index_rests(line: str = "line", n: str = "n") -> str:
+    return _by_class(n, lambda t: _rests(index_segments(n, t), line, n, n, t))
+
+
+def probe_rests(line: str = "line", n: str = "n") -> str:
+    parts = [_by_class(f"({n} - {d})", lambda t, d=d: _rests(probe_segments(n, t, d) if d <= t else [], line, n, f"({n} - {d})", t if d <= t else 0)) for d in range(EDITS + 1)]
+    return f"concat({', '.join(parts)})"
 
 
 def common_prefix(a: str, b: str) -> str:
@@ -103,96 +158,158 @@ def letter_parity(line: str = "line") -> Column:
     return F.expr(" | ".join(odd))
 
 
-def lines_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Lines long enough to be judged: (__k1, __k2, id, pos, line, n, and the line's hashes i1, i2)."""
-    split = docs.select(*content_key(id_col, text_col), F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    long = split.withColumn("n", F.char_length("line")).where(F.col("n") >= MIN_CHARS)
-    return long.select("*", F.xxhash64("line").alias("i1"), F.xxhash64(F.lit(1), "line").alias("i2"))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Lines that are not blank of ``docs`` (k1, k2, id, text): (k1, k2, id, pos, line, n, and the line's hashes i1, i2)."""
+    split = docs.select("k1", "k2", "id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    said = split.withColumn("n", F.char_length("line")).where(r"line rlike '[^\\x20\\x09-\\x0D]'")
+    return said.select("*", F.xxhash64("line").alias("i1"), F.xxhash64(F.lit(1), "line").alias("i2"))
 
 
-def _place(lines: DataFrame, *more: str) -> Column:
-    return F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("__k1"), F.col("pos"), *more)
+def _place(*more: str) -> Column:
+    return F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "pos", *more)
 
 
-def _alike(odd_a: str, odd_b: str, edits: int = EDITS) -> Column:
+def _alike(odd_a: str, odd_b: str) -> Column:
     """Whether letter parities allow for two lines to be within the edits."""
-    return F.bit_count(F.col(odd_a).bitwiseXOR(F.col(odd_b))) <= 2 * edits
+    return F.bit_count(F.col(odd_a).bitwiseXOR(F.col(odd_b))) <= 2 * EDITS
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b, key): pairs of distinct lines that share a key, a the longer, or as long and either way round.
+def _within(n: str) -> Column:
+    """Whether the lines ``a`` (the longer) and ``b``, of ``n`` characters, are within their edits."""
+    return edit_distance("a", "b") <= F.expr(edits_of(n))
+
+
+def meetings(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From ``index`` (key, b) and ``probe`` (key, a): the pairs (a, b) that share a key, and the keys (key, n) of more than HOT_KEY lines, which give none."""
+    hot = cut_lineage(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY))
+    cold = index.join(small_side(hot), "key", "left_anti")
+    return probe.join(cold, "key").where("a <> b").select("a", "b").distinct(), hot
 
-    A key that more than HOT_KEY lines index gives no pairs but its members: one
-    row (a, null, key) for each line that probes it, those that index it included.
-    """
-    by_key = Window.partitionBy("key").orderBy("b")
-    index = distinct.select(F.col("i1").alias("b"), F.explode("ix").alias("key"))
-    index = index.select("key", "b", (F.count("*").over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > HOT_KEY).alias("hot"), F.row_number().over(by_key).alias("rank"))
-    probe = distinct.select(F.col("i1").alias("a"), F.explode("pr").alias("key"))
-    met = probe.join(index.where("not hot or rank = 1"), "key").where("hot or a <> b")
-    none = F.lit(None).cast("long")
-    return met.select("a", F.when(F.col("hot"), none).otherwise(F.col("b")).alias("b"), F.when(F.col("hot"), F.col("key")).otherwise(none).alias("key")).distinct()
+
+def earlier_of(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(line): the later of each pair (a, b) of near lines; ``known``: (l, line, n, odd, first)."""
+    left, right = (known.select(F.col("l").alias(f"l{x}"), F.col("line").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "odd", "first")]) for x in "ab")
+    both = pairs.select(F.col("a").alias("la"), F.col("b").alias("lb")).join(left, "la").join(right, "lb")
+    close = both.where((F.col("n_a") >= F.col("n_b")) & _alike("odd_a", "odd_b")).where(_within("n_b"))
+    return close.select(F.when(F.col("first_a") > F.col("first_b"), F.col("la")).otherwise(F.col("lb")).alias("l"))
 
 
 def near_earlier(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(i1): distinct lines that have another one within EDITS edits which first stands earlier."""
-    met = cut_lineage(candidates(distinct))
-    wanted = cut_lineage(met.select(F.explode(F.array("a", "b")).alias("i1")).where("i1 is not null").distinct())
-    texts = lines.select("i1", "line").join(small_side(wanted, 2_000_000), "i1", "left_semi").groupBy("i1").agg(F.first("line").alias("line"))
-    known = cut_lineage(texts.join(distinct.select("i1", "first"), "i1").withColumn("odd", letter_parity()))
-    left, right = (known.select(F.col("i1").alias(x), F.col("line").alias(f"t{x}"), F.col("first").alias(f"f{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
-    both = met.where("key is null").select("a", "b").join(left, "a").join(right, "b").where(_alike("oa", "ob"))
-    close = both.where(edit_distance("ta", "tb") <= EDITS)
-    found = close.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("i1"))
-    hot = met.where("key is not null").select("a", "key")
-    if not hot.isEmpty():
-        found = found.union(_near_in_hot_keys(hot, known))
+    """(l): distinct lines that have another one within the edits which first stands earlier.
+
+    ``distinct``: l, i1, i2, n, odd, first, ix, pr.
+    """
+    index = distinct.select(F.explode("ix").alias("key"), F.col("l").alias("b"))
+    probe = distinct.select(F.explode("pr").alias("key"), F.col("l").alias("a"))
+    met, hot = meetings(index, probe)
+    facts = distinct.select("l", "n", "odd")
+    sifted = met.join(facts.toDF("a", "n_a", "odd_a"), "a").join(facts.toDF("b", "n_b", "odd_b"), "b")
+    sifted = sifted.where(_alike("odd_a", "odd_b") & ((F.col("n_a") > F.col("n_b")) | (F.col("a") < F.col("b")))).select("a", "b")
+    pairs = cut_lineage(sifted)
+    any_hot = not hot.isEmpty()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("l"))
+    if any_hot:
+        hot = small_side(hot.select("key"))
+        members = cut_lineage(probe.join(hot, "key", "left_semi").select(F.col("a").alias("l"), "key"))  # lines that index a key probe it, too
+        wanted = wanted.union(members.select("l"))
+    chosen = cut_lineage(distinct.join(wanted.distinct(), "l", "left_semi").select("l", "i1", "i2", "n", "odd", "first"))
+    texts = lines.select("i1", "i2", "line").join(small_side(chosen.select("i1", "i2"), 1_000_000), ["i1", "i2"], "left_semi").groupBy("i1", "i2").agg(F.first("line").alias("line"))
+    known = cut_lineage(chosen.join(texts, ["i1", "i2"]).select("l", "line", "n", "odd", "first"))
+    found = earlier_of(pairs, known)
+    if any_hot:
+        found = found.union(_near_in_hot_keys(members, known))
     return found.distinct()
 
 
-def _near_in_hot_keys(hot: DataFrame, known: DataFrame) -> DataFrame:
-    """The same among the members (a, key) of hot keys: semi-joins, so a group gives a row for each member at most."""
-    n = F.char_length("line").alias("n")
-    members = cut_lineage(hot.join(known.withColumnRenamed("i1", "a"), "a").select("key", "a", "line", "first", n, "odd"))
-    indexed = members.where(F.expr(f"array_contains({index_keys()}, key)"))
-    long, short = (x.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("a", "line", "first", "n", "odd")]) for x, p in ((members, "l"), (indexed, "s")))
-    like = (F.col("l_a") != F.col("s_a")) & F.col("l_n").between(F.col("s_n"), F.col("s_n") + EDITS) & _alike("l_odd", "s_odd")
-    same_key = long["key"] == short["key"]
-    far = edit_distance("l_line", "s_line") <= EDITS
-    later_long = long.join(short, same_key & like & (F.col("s_first") < F.col("l_first")) & far, "left_semi").select(F.col("l_a").alias("i1"))
-    later_short = short.join(long, same_key & like & (F.col("l_first") < F.col("s_first")) & far, "left_semi").select(F.col("s_a").alias("i1"))
-    return later_long.union(later_short)
-
-
-def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(__k1, __k2, __dropped): the sorted numbers, from 0, of the lines that go from each document that loses any."""
-    lines = lines_of(docs, text_col, id_col)
-    keyed = lines.select("__k1", "__k2", "id", "pos", "i1", "i2", F.expr(index_keys()).alias("ix"), F.expr(probe_keys()).alias("pr"))
-    distinct = keyed.groupBy("i1", "i2").agg(F.count("*").alias("copies"), F.min(_place(keyed, "ix", "pr")).alias("first"))
-    distinct = cut_lineage(distinct.select("i1", "i2", "copies", F.col("first.ix").alias("ix"), F.col("first.pr").alias("pr"), F.struct(*[F.col(f"first.{c}") for c in ("none", "id", "__k1", "pos")]).alias("first")))
+def _near_in_hot_keys(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(l) as ``near_earlier``, among lines that probe hot keys: ``members`` (l, key)."""
+    asked = members.groupBy("l").agg(F.collect_set("key").alias("keys"))  # no more than a line has keys
+    own = known.join(asked, "l")
+    of = lambda rests: own.select("l", F.explode(F.expr(f"filter({rests}, x -> array_contains(keys, x.key))")).alias("x")).select("l", "x.*", F.char_length("x.rest").alias("m"))
+
+    def again(df: DataFrame, keys) -> DataFrame:
+        by_edits = " ".join(f"when {t} then {keys('rest', 'm', t, 'key, ')}" for t in range(1, EDITS + 1))
+        return df.select("l", F.explode(F.expr(f"case t {by_edits} end")).alias("key")).distinct()
+
+    index = cut_lineage(again(of(index_rests()), index_keys).select("key", F.col("l").alias("b")))
+    probe = cut_lineage(again(of(probe_rests()), probe_keys).select("key", F.col("l").alias("a")))
+    met, hot = meetings(index, probe)
+    found = earlier_of(met, known)
+    if hot.isEmpty():
+        return found
+    parts = F.ceil(F.col("n") / HOT_PART).cast("long").alias("parts")
+    keyed = hot.select("key", parts)
+    columns = ["line", "n", "odd", "first"]
+    # each of a key's lines goes to one part, and those it may be near to go to all of them
+    return found.union(_later(probe, index, "a", "b", keyed, known, columns)).union(_later(index, probe, "b", "a", keyed, known, columns))
+
+
+def _later(mine: DataFrame, others: DataFrame, x: str, y: str, hot: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
+    """(l): lines of ``mine`` (key, x) with an earlier near one among ``others`` (key, y) of the same hot key; side a is the longer."""
+    def texts(name: str) -> DataFrame:
+        return known.select(F.col("l").alias(f"l_{name}"), F.col("line").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns[1:]])
+
+    one = mine.join(hot, "key").select("key", F.pmod(F.xxhash64(x), F.col("parts")).alias("part"), F.col(x).alias(f"l_{x}")).join(texts(x), f"l_{x}")
+    all_of = others.join(hot, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col(y).alias(f"l_{y}")).join(texts(y), f"l_{y}")
+    near = (F.col("l_a") != F.col("l_b")) & (F.col(f"first_{y}") < F.col(f"first_{x}")) & (F.col("n_a") >= F.col("n_b")) & _alike("odd_a", "odd_b") & _within("n_b")
+    return one.join(all_of, (one["key"] == all_of["key"]) & (one["part"] == all_of["part"]) & near, "left_semi").select(F.col(f"l_{x}").alias("l"))
+
+
+def dropped_lines(docs: DataFrame) -> DataFrame:
+    """(k1, k2, dropped, first): the sorted numbers, from 0, of the lines that go from each document of ``docs`` (k1, k2, id, text) that loses any.
+
+    Of rows equal in id and text one is the earliest; ``first`` are the lines that only the others of them lose.
+    """
+    lines = lines_of(docs)
+    keyed = lines.select("k1", "k2", "id", "pos", "i1", "i2", F.struct("n", letter_parity().alias("odd"), F.expr(index_keys()).alias("ix"), F.expr(probe_keys()).alias("pr")).alias("of"))
+    merged = keyed.groupBy("i1", "i2").agg(F.count("*").alias("copies"), F.min(_place("of")).alias("first"))
+    at = F.struct(*[F.col(f"first.{c}").alias(c) for c in ("none", "id", "k1", "k2", "pos")]).alias("first")
+    distinct = cut_lineage(merged.select(F.monotonically_increasing_id().alias("l"), "i1", "i2", "copies", at, "first.of.*"))
     near = near_earlier(lines, distinct).withColumn("near", F.lit(True))
-    judged = distinct.select("i1", "i2", "copies", "first").join(near, "i1", "left").where("near or copies > 1")
-    at = lines.select("__k1", "__k2", "id", "pos", "i1", "i2").join(judged, ["i1", "i2"])
-    gone = at.where(F.coalesce("near", F.lit(False)) | (_place(at) != F.col("first")))
-    return gone.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("pos")).alias("__dropped"))
+    judged = distinct.select("l", "i1", "i2", "copies", "first").join(near, "l", "left").where("near or copies > 1").select("i1", "i2", "first", "near")
+    places = lines.select("k1", "k2", "id", "pos", "i1", "i2").join(judged, ["i1", "i2"])
+    gone = places.select("k1", "k2", "pos", (F.col("near").isNull() & (_place() == F.col("first"))).alias("earliest"))
+    # a row equal in id and text to others shares its lines' places with them: its own first lines go from all but one
+    sorted_set = lambda kept: F.array_sort(F.collect_set(F.when(F.col("earliest") == kept, F.col("pos"))))
+    return gone.groupBy("k1", "k2").agg(sorted_set(False).alias("dropped"), sorted_set(True).alias("first"))
+
+
+def _keyed(docs: DataFrame, names: list[str], text_col: str, id_col: str) -> DataFrame:
+    keys = [k.alias(x) for k, x in zip(content_key(col(id_col), col(text_col)), ("k1", "k2"), strict=True)]
+    return docs.select(boxed(docs, names), *keys, col(id_col).alias("id"), col(text_col).alias("text"))
+
+
+def _decided(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, k1, k2, ..) with ``dropped``, null if nothing goes."""
+    gone = dropped_lines(rows.select("k1", "k2", "id", "text"))
+    repeated = cut_lineage(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1"))
+    if repeated.isEmpty():
+        return rows.join(gone.drop("first"), ["k1", "k2"], "left")
+    repeated = small_side(repeated)
+    plain = rows.join(repeated, ["k1", "k2"], "left_anti").join(gone.drop("first"), ["k1", "k2"], "left")
+    # of equal rows the least number stays whole; the numbers are written, so they do not change
+    equal = cut_lineage(rows.join(repeated, ["k1", "k2"], "left_semi").withColumn("number", F.monotonically_increasing_id()))
+    whole = cut_lineage(equal.groupBy("k1", "k2").agg(F.min("number").alias("whole")))
+    judged = equal.join(small_side(whole), ["k1", "k2"]).join(gone, ["k1", "k2"], "left")
+    lost = F.when(F.col("number") == F.col("whole"), F.col("dropped")).otherwise(F.array_sort(F.array_union("dropped", "first")))
+    return plain.unionByName(judged.withColumn("dropped", lost).drop("number", "whole", "first"))
 
 
 def decide(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row a document row: id, ``n_lines`` (of the split at line feeds; null text: 0) and ``dropped``.
 
-    Rows equal in id and text decide as one, so such copies keep the same lines.
-    Lines under MIN_CHARS characters and blank texts lose nothing.
+    Of rows equal in id and text one counts as the earliest, so the others lose all their
+    lines; rows of one id with other texts are in order of a hash.  Rows without an id
+    come last.  Blank lines stay; null and blank texts lose nothing.
     """
-    gone = dropped_lines(docs, text_col, id_col)
-    n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col), *content_key(id_col, text_col), F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).alias("n_lines"))
-    return rows.join(gone, ["__k1", "__k2"], "left").select(id_col, "n_lines", F.coalesce("__dropped", F.array().cast("array<int>")).alias("dropped"))
+    rows = _decided(_keyed(docs, [id_col], text_col, id_col))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    return rows.select(F.col("id").alias(id_col), n_lines.alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the dropped lines gone from the text; every row and all other columns stay."""
-    gone = dropped_lines(docs, text_col, id_col)
-    keyed = docs.select("*", *content_key(id_col, text_col)).join(gone, ["__k1", "__k2"], "left")
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains(__dropped, i)), '\\n')")
-    text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept)
-    return keyed.withColumn(text_col, text).select(*docs.columns)
+    rows = _decided(_keyed(docs, [c for c in docs.columns if c != text_col], text_col, id_col))
+    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(dropped, i)), '\\n')")
+    text = F.when(F.col("dropped").isNull() | (F.size("dropped") == 0), F.col("text")).otherwise(kept)
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -153,12 +153,13 @@ def line_dedup_sql() -> str:
     return f"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 lines AS MATERIALIZED (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM docs),
-long AS MATERIALIZED (SELECT * FROM lines WHERE length(line) >= {line_dedup.MIN_CHARS}),
-d AS MATERIALIZED (SELECT line, length(line) AS n, min(struct_pack(doc_id := doc_id, pos := pos)) AS first FROM long GROUP BY line),
-near AS (SELECT DISTINCT a.line FROM d a JOIN d b ON b.n BETWEEN a.n - {line_dedup.EDITS} AND a.n + {line_dedup.EDITS} AND b.first < a.first
-  WHERE levenshtein({_one_byte('a.line')}, {_one_byte('b.line')}) <= {line_dedup.EDITS}),
-gone AS (SELECT doc_id, pos FROM long JOIN d USING (line) LEFT JOIN near ON near.line = long.line
-  WHERE near.line IS NOT NULL OR d.first <> struct_pack(doc_id := long.doc_id, pos := long.pos)),
+said AS MATERIALIZED (SELECT * FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+d AS MATERIALIZED (SELECT line, length(line) AS n, min(struct_pack(doc_id := doc_id, pos := pos)) AS first FROM said GROUP BY line),
+pairs AS (SELECT a.line AS a, b.line AS b, least(a.n, b.n) AS n FROM d a JOIN d b ON b.n BETWEEN a.n - {line_dedup.EDITS} AND a.n + {line_dedup.EDITS} AND b.first < a.first),
+near AS (SELECT DISTINCT a AS line FROM pairs WHERE n >= {line_dedup.MIN_CHARS // 2}
+  AND levenshtein({_one_byte('a')}, {_one_byte('b')}) <= CASE WHEN n >= {line_dedup.MIN_CHARS} THEN {line_dedup.EDITS} ELSE 1 END),
+gone AS (SELECT doc_id, pos FROM said JOIN d USING (line) LEFT JOIN near ON near.line = said.line
+  WHERE near.line IS NOT NULL OR d.first <> struct_pack(doc_id := said.doc_id, pos := said.pos)),
 per AS (SELECT doc_id, count(*) AS n_dropped, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS dropped_lines FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped_lines, '') AS dropped_lines
 FROM docs LEFT JOIN per USING (doc_id)"""
