@@ -11,16 +11,14 @@ cell are then compared exactly.
 
 Cells report a spanning forest of their links, not all pairs, so a hot group
 costs as many rows as it has members.  Equal fingerprints are one member from the
-start.  Cells with over ``MAX_CELL`` members are cut into chunks, and every pair of
-chunks is compared by a task of its own.
+start.  Members of cells with over ``MAX_CELL`` enter four narrower ones each, by the
+values of the fingerprint's quarters, one of which two members within three bits share.
+What is still larger is cut into chunks, and every pair of chunks is compared by a task
+of its own.
 
 Fingerprints of near copies may differ in many more bits.  ``overlap_links`` therefore
-finds texts by an exact join on their sets of ``WIDTH``-word shingles: of two sets with
-a Jaccard index of 0.8 or more, the first fifth (and one more) of either in a common
-order hold a shingle of the other's.  Any order will do; shingles that are rare in a
-sample come first, so few texts meet.  Texts whose fingerprints link anyway are passed
-over.  Of the others, bits that tell in which buckets a set has an odd number of
-shingles sift those that differ in too many; what is left is compared on the whole sets.
+finds texts by an exact join on their sets of ``WIDTH``-word shingles (module
+``overlap``), and links their fingerprints, too.
 """
 
 from __future__ import annotations
@@ -33,17 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import content_key, cut_lineage, small_side
+from . import overlap
+from .common import boxed, col, content_key, cut_lineage, small_side, unboxed
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 MAX_CELL = 16_384
-#: Words of a shingle of ``overlap_links``; the Jaccard index asked for there is 4/5.
-WIDTH = 5
-#: Shingles are counted in so many hash buckets over one row in SAMPLE; the counts only order them.
-BUCKETS, SAMPLE = 1 << 16, 16
-#: Bits of a set's parities.
-PARITIES = 512
 _PAIRS_BELOW = 48
 
 
@@ -70,17 +63,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(df: DataFrame, text_col: str = "text", fp_col: str = "fp") -> DataFrame:
-    """Add the fingerprint as a signed long; the text column is dropped. Null texts count as empty."""
-    keep = [c for c in df.columns if c not in (text_col, fp_col)]
-    narrow = df.select(*keep, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__text"))
+def with_fingerprints(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and ``fp``, the fingerprint as a signed long. Null texts count as empty."""
+    narrow = df.select(*keep, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(len(keep))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*keep, fp_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
-    return narrow.mapInArrow(run, StructType([*(df.schema[c] for c in keep), StructField(fp_col, LongType())]))
+    return narrow.mapInArrow(run, StructType([*(narrow.schema[c] for c in keep), StructField("fp", LongType())]))
 
 
 # --- the grid join -----------------------------------------------------------------------
@@ -176,119 +168,36 @@ _OUT = "again boolean, a long, b long"
 
 def fingerprint_links(fps: DataFrame, max_cell: int = MAX_CELL) -> DataFrame:
     """(a, b): links that connect exactly what pairs within ``DISTANCE`` bits connect; ``fps``: distinct ``fp``."""
-    cells = grid_cells(fps)
-    first = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(max_cell), _OUT)
-    first = cut_lineage(first)
+
+    def compared(cells: DataFrame, limit: int | None) -> DataFrame:
+        return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(limit), _OUT)
+
+    def again(out: DataFrame) -> DataFrame:
+        return out.where("again").select(F.col("a").alias("cell"), F.col("b").alias("fp"))
+
+    first = cut_lineage(compared(grid_cells(fps), max_cell))
     links = first.where("not again").select("a", "b")
     if first.where("again").isEmpty():
         return links.distinct()
-    large = first.where("again").select(F.col("a").alias("cell"), F.col("b").alias("fp"))
+    quarters = F.array(*[F.xxhash64("cell", F.lit(j), F.shiftrightunsigned("fp", 16 * j).bitwiseAND(0xFFFF)) for j in range(4)])
+    second = cut_lineage(compared(again(first).select(F.explode(quarters).alias("cell"), "fp"), max_cell))
+    links = links.union(second.where("not again").select("a", "b"))
+    if second.where("again").isEmpty():
+        return links.distinct()
+    large = again(second)
     n = large.groupBy("cell").agg(F.count("*").alias("n"))
     chunks = F.ceil(F.col("n") / max_cell).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     spread = large.join(n.select("cell", chunks.alias("k")), "cell").withColumn("c", mine)
     spread = spread.select("cell", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d"))
     task = F.xxhash64("cell", F.least("c", "d"), F.greatest("c", "d"))
-    rest = spread.select(task.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(None), _OUT)
+    rest = compared(spread.select(task.alias("cell"), "fp"), None)
     return links.union(rest.select("a", "b")).distinct()
 
 
-# --- texts that share shingles -----------------------------------------------------------
-
-
-def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """The distinct hashes of a text's ``width``-word shingles (all its words, if fewer), ascending; no words: none."""
-    import xxhash
-
-    words = text.lower().split()
-    n = max(1, len(words) - width + 1) if words else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(n)), np.uint64, n))
-
-
-def shingle_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """In how many sampled texts of ``docs`` (__k1, text) the shingles of each bucket stand."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                seen += np.bincount((shingle_set(t.as_py()) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
-
-    texts = docs.where(F.pmod("__k1", F.lit(SAMPLE)) == 0).select(F.col(text_col).cast("binary").alias("t")).where("t is not null")
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r["bucket"]] = r["n"]
-    return counts
-
-
-def with_prefixes(docs: DataFrame, counts: np.ndarray, text_col: str) -> DataFrame:
-    """(__k1, __k2, fp, s, n, odd, prefix) of texts with words: a hash of the set, its size, parities and prefix in the common order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            rows: list[int] = []
-            fps, names, sizes, odd, prefixes = [], [], [], [], []
-            for i, t in enumerate(batch.column(2)):
-                h = shingle_set(t.as_py())
-                n = len(h)
-                if n:
-                    order = np.lexsort((h, counts[(h % np.uint64(BUCKETS)).astype(np.int64)]))
-                    rows.append(i)
-                    fps.append(fingerprint(t.as_py()))
-                    ones = np.bincount((h % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) % 2
-                    odd.append(np.packbits(ones.astype(np.uint8)).view(np.int64))
-                    names.append(xxhash.xxh64_intdigest(h.tobytes()))
-                    sizes.append(n)
-                    prefixes.append(h[order[: n - (4 * n + 4) // 5 + 1]].view(np.int64))
-            kept = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:2]]
-            new = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, names)] + [pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (odd, prefixes))]
-            yield pa.RecordBatch.from_arrays([*kept, *new], names=["__k1", "__k2", "fp", "s", "n", "odd", "prefix"])
-
-    texts = docs.select("__k1", "__k2", F.col(text_col).cast("binary").alias("t")).where("t is not null")
-    return texts.mapInArrow(run, "__k1 long, __k2 long, fp long, s long, n long, odd array<long>, prefix array<long>")
-
-
-def whole_sets(docs: DataFrame, text_col: str) -> DataFrame:
-    """(s, h): the shingle set of each text of ``docs`` (s, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["s", "h"])
-
-    return docs.select("s", F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "s long, h array<long>")
-
-
-def overlap_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(a, b): fingerprints over DISTANCE bits apart of texts whose shingle sets have a Jaccard index of 4/5 or more.
-
-    ``docs``: rows with __k1, __k2 and a text.
-    """
-    texts = cut_lineage(with_prefixes(docs, shingle_counts(docs, text_col), text_col).dropDuplicates(["fp", "s"]))
-    index = texts.select("fp", "s", "n", F.posexplode("prefix").alias("i", "key")).repartition("key")  # one exchange for both sides
-    a, b = (index.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "s", "n", "i")]) for x in "ab")
-    sizes = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * least(n_a - i_a, n_b - i_b) >= 4 * (n_a + n_b)"
-    met = a.join(b, "key").where(f"fp_a < fp_b and bit_count(fp_a ^ fp_b) > {DISTANCE} and {sizes}")
-    met = cut_lineage(met.select("fp_a", "fp_b", "s_a", "s_b").distinct())
-    left, right = (texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("fp", "s", "n", "odd")]) for x in "ab")
-    differ = "aggregate(zip_with(odd_a, odd_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
-    few = met.join(left, ["fp_a", "s_a"]).join(right, ["fp_b", "s_b"]).where(f"9 * {differ} <= n_a + n_b")
-    few = cut_lineage(few.select("fp_a", "fp_b", "s_a", "s_b", "n_a", "n_b"))
-    wanted = few.select(F.explode(F.array("s_a", "s_b")).alias("s")).distinct()
-    chosen = cut_lineage(texts.join(wanted, "s", "left_semi").groupBy("s").agg(F.min(F.struct("__k1", "__k2")).alias("k")).select("s", "k.*"))
-    sets = cut_lineage(whole_sets(docs.select("__k1", "__k2", text_col).join(small_side(chosen), ["__k1", "__k2"]), text_col).dropDuplicates(["s"]))
-    left, right = (sets.select(F.col("s").alias(f"s_{x}"), F.col("h").alias(f"h_{x}")) for x in "ab")
-    close = few.join(left, "s_a").join(right, "s_b").where("9 * size(array_intersect(h_a, h_b)) >= 4 * (n_a + n_b)")
-    return cut_lineage(close.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct())
-
-
-def fingerprint_components(rows: DataFrame, id_col: str = "doc_id", max_cell: int = MAX_CELL, more: DataFrame | None = None) -> DataFrame:
+def fingerprint_components(rows: DataFrame, max_cell: int = MAX_CELL, more: DataFrame | None = None) -> DataFrame:
     """(fp, component_id) for all fingerprints of ``rows`` (id, fp): the smallest id reachable, over links ``more``, too."""
-    reps = rows.groupBy("fp").agg(F.min(id_col).alias("rep"))
+    reps = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("rep")))
     links = fingerprint_links(reps.select("fp"), max_cell)
     parts = connected_components(links if more is None else links.union(more))
     linked = parts.withColumnRenamed("node", "fp").join(reps, "fp")
@@ -304,25 +213,30 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     Null and empty texts have fingerprint 0 and link like any others; ids may
     repeat; null ids never name a component that has another id.
     """
-    rows = cut_lineage(with_fingerprints(docs.select(id_col, text_col), text_col))
-    return rows.join(small_side(fingerprint_components(rows, id_col)), "fp").select(id_col, "fp", "component_id")
+    rows = cut_lineage(with_fingerprints(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), ["id"]))
+    joined = rows.join(small_side(fingerprint_components(rows)), "fp")
+    return joined.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", overlap: bool = False) -> DataFrame:
-    """Keep one row of each component, that with the smallest id (then the smallest content key).
+def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", overlapping: bool = False) -> DataFrame:
+    """Keep one row of each component, that with the smallest id (then the smallest content key); all columns stay.
 
-    With ``overlap``, texts that share enough shingles (``overlap_links``) are linked as well.
+    With ``overlapping``, texts whose shingle sets overlap enough (module ``overlap``) are
+    linked as well.  Rows without an id are kept only if their component has no id at all.
     """
-    keyed = docs.select("*", *content_key(id_col, text_col))
-    rows = cut_lineage(with_fingerprints(keyed.select(id_col, "__k1", "__k2", text_col), text_col))
-    parts = fingerprint_components(rows, id_col, more=overlap_links(keyed, text_col) if overlap else None)
-    same = rows.groupBy("fp", "__k1", "__k2", id_col).agg(F.count("*").alias("__n"))
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__k1"), F.col("__k2"), F.col("__n"))
+    keys = [k.alias(x) for k, x in zip(content_key(col(id_col), col(text_col)), ("k1", "k2"), strict=True)]
+    keyed = docs.select(boxed(docs), *keys, col(id_col).alias("id"), col(text_col).alias("text"))
+    rows = cut_lineage(with_fingerprints(keyed, ["id", "k1", "k2"]))
+    more = overlap.fingerprint_links(keyed, rows, DISTANCE) if overlapping else None
+    parts = fingerprint_components(rows, more=more)
+    same = rows.groupBy("fp", "k1", "k2", "id").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull(), "id", "k1", "k2", "n")
     # a component without any id is one of equal or linked rows that all lack it: its links still decide
-    best = same.join(small_side(parts), "fp").groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string"))).alias("c")).agg(F.min(order).alias("w"))
-    winners = cut_lineage(best.select("w.__k1", "w.__k2", "w.__n"))
-    kept = keyed.join(winners, ["__k1", "__k2"])
-    once = kept.where("__n = 1").select(*docs.columns)
-    if winners.where("__n > 1").isEmpty():
+    name = F.coalesce(F.concat(F.lit("i"), F.col("component_id").cast("string")), F.concat(F.lit("f"), F.col("fp").cast("string")))
+    best = same.join(small_side(parts), "fp").groupBy(name.alias("c")).agg(F.min(order).alias("w"))
+    winners = cut_lineage(best.select("w.k1", "w.k2", "w.n"))
+    kept = keyed.join(winners, ["k1", "k2"])
+    once = kept.where("n = 1").select(*unboxed(docs.columns))
+    if winners.where("n > 1").isEmpty():
         return once
-    return once.union(kept.where("__n > 1").dropDuplicates(["__k1", "__k2"]).select(*docs.columns))
+    return once.union(kept.where("n > 1").dropDuplicates(["k1", "k2"]).select(*unboxed(docs.columns)))

@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import simhash
+from graphloom.llm import overlap, simhash
 from graphloom.llm.components import connected_components
 
 
@@ -49,7 +50,7 @@ def signed(fps):
 
 
 def components_of(spark, fps, **options):
-    df = spark.createDataFrame([(i, f) for i, f in enumerate(signed(fps))], "doc_id long, fp long")
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(signed(fps))], "id long, fp long")
     return {r["fp"] & (2**64 - 1): r["component_id"] for r in simhash.fingerprint_components(df, **options).collect()}
 
 
@@ -126,7 +127,10 @@ def test_rows_without_any_id(spark):
     assert simhash.near_duplicates(d).where(F.col("component_id").isNotNull()).isEmpty()
 
 
-def test_overlap_links_every_pair_at_four_fifths(spark):
+@pytest.mark.parametrize(("hot", "part"), [(overlap.HOT, overlap.PART), (2, 3)])
+def test_overlap_links_every_pair_at_four_fifths(spark, monkeypatch, hot, part):
+    monkeypatch.setattr(overlap, "HOT", hot)
+    monkeypatch.setattr(overlap, "PART", part)
     rng = random.Random(12)
     texts = {}
     for g in range(25):
@@ -147,6 +151,6 @@ def test_overlap_links_every_pair_at_four_fifths(spark):
         for i, j in alike | near:
             root[i] = root[j] = min(root[i], root[j])
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    got = {r["doc_id"] for r in simhash.deduplicate(d, overlap=True).collect()}
+    got = {r["doc_id"] for r in simhash.deduplicate(d, overlapping=True).collect()}
     assert got == set(root.values()) and got < {r["doc_id"] for r in simhash.deduplicate(d).collect()}
-    assert simhash.deduplicate(d.limit(0), overlap=True).count() == 0
+    assert simhash.deduplicate(d.limit(0), overlapping=True).count() == 0
