@@ -2,8 +2,8 @@
 
 A line that is not blank goes if an equal line stands earlier in the corpus, or another
 line within t edits first stands earlier (documents in order of id, lines in order of
-place).  t is EDITS where the shorter of two lines has ``MIN_CHARS`` characters or more,
-1 from half as many on, and 0 below.  If two lines are within t edits and one is cut into
+place).  t is EDITS among lines of ``MIN_CHARS`` characters or more, 1 among shorter ones of
+half as many or more, and 0 below.  If two lines are within t edits and one is cut into
 t + 1 segments, some segment stands unchanged in the other, shifted by no more than the
 edits allow.  So each distinct line indexes its t + 1 segments by (length, segment number,
 hash) and probes, for every length up to t shorter, only the few substrings whose shift
@@ -11,7 +11,7 @@ can still be paid for.  Pairs that meet are verified by a banded bit-parallel ed
 distance: 2 t + 1 diagonals in one machine word, one step a character.
 
 Only hashes of segments are shuffled; texts of lines are fetched for candidate pairs
-alone, and only if the letters they have an odd number of allow for the edits.  Copies of
+alone, and compared if the letters they have an odd number of allow for the edits.  Copies of
 a line are merged before anything is joined, so a line that a third of all documents
 share costs no more than another; a distinct line is named by a number given once.
 
@@ -93,26 +93,21 @@ def probe_keys(line: str = "line", n: str = "n", edits: int | None = None, salt:
     """SQL of the array of keys under which lines within their edits and not longer than this one are indexed."""
     if edits is not None:
         return _array([_hash(x, line, salt) for d in range(edits + 1) for x in probe_segments(n, edits, d)], "bigint")
-    parts = []
-    for d in range(EDITS + 1):
-        of = lambda t, d=d: _array([_hash(x, line, salt) for x in probe_segments(n, t, d)] if d <= t and t else [], "bigint")
-        parts.append(_by_class(f"({n} - {d})", of))
-    return f"concat({', '.join(parts)})"
+    return _by_class(n, lambda t: _array([_hash(x, line, salt) for d in range(t + 1) for x in probe_segments(n, t, d)] if t else [], "bigint"))
 
 
-def _rests(segments, line: str, n: str, m: str, t: int) -> str:
+def _rests(segments, line: str, t: int) -> str:
     """SQL of the array of (key, rest, edits) of ``segments``: the line without the segment, beside its key."""
     items = [f"named_struct('key', {_hash(x, line, '')}, 'rest', concat(substring({line}, 1, {x[1]}), substring({line}, {x[1]} + {x[2]} + 1)), 't', {t})" for x in segments]
     return _array(items if t else [], "struct<key:bigint,rest:string,t:int>")
 
 
 def index_rests(line: str = "line", n: str = "n") -> str:
-    return _by_class(n, lambda t: _rests(index_segments(n, t), line, n, n, t))
+    return _by_class(n, lambda t: _rests(index_segments(n, t), line, t))
 
 
 def probe_rests(line: str = "line", n: str = "n") -> str:
-    parts = [_by_class(f"({n} - {d})", lambda t, d=d: _rests(probe_segments(n, t, d) if d <= t else [], line, n, f"({n} - {d})", t if d <= t else 0)) for d in range(EDITS + 1)]
-    return f"concat({', '.join(parts)})"
+    return _by_class(n, lambda t: _rests([x for d in range(t + 1) for x in probe_segments(n, t, d)], line, t))
 
 
 def common_prefix(a: str, b: str) -> str:
@@ -174,9 +169,9 @@ def _alike(odd_a: str, odd_b: str) -> Column:
     return F.bit_count(F.col(odd_a).bitwiseXOR(F.col(odd_b))) <= 2 * EDITS
 
 
-def _within(n: str) -> Column:
-    """Whether the lines ``a`` (the longer) and ``b``, of ``n`` characters, are within their edits."""
-    return edit_distance("a", "b") <= F.expr(edits_of(n))
+def _within() -> Column:
+    """Whether the lines ``a`` (the longer, of n_a characters) and ``b`` (of n_b) are within their edits."""
+    return (F.expr(edits_of("n_a")) == F.expr(edits_of("n_b"))) & (edit_distance("a", "b") <= F.expr(edits_of("n_b")))
 
 
 def meetings(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,31 +185,28 @@ def earlier_of(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(line): the later of each pair (a, b) of near lines; ``known``: (l, line, n, odd, first)."""
     left, right = (known.select(F.col("l").alias(f"l{x}"), F.col("line").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "odd", "first")]) for x in "ab")
     both = pairs.select(F.col("a").alias("la"), F.col("b").alias("lb")).join(left, "la").join(right, "lb")
-    close = both.where((F.col("n_a") >= F.col("n_b")) & _alike("odd_a", "odd_b")).where(_within("n_b"))
+    close = both.where((F.col("n_a") >= F.col("n_b")) & _alike("odd_a", "odd_b")).where(_within())
     return close.select(F.when(F.col("first_a") > F.col("first_b"), F.col("la")).otherwise(F.col("lb")).alias("l"))
 
 
 def near_earlier(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(l): distinct lines that have another one within the edits which first stands earlier.
 
-    ``distinct``: l, i1, i2, n, odd, first, ix, pr.
+    ``distinct``: l, i1, i2, n, first, ix, pr.
     """
     index = distinct.select(F.explode("ix").alias("key"), F.col("l").alias("b"))
     probe = distinct.select(F.explode("pr").alias("key"), F.col("l").alias("a"))
     met, hot = meetings(index, probe)
-    facts = distinct.select("l", "n", "odd")
-    sifted = met.join(facts.toDF("a", "n_a", "odd_a"), "a").join(facts.toDF("b", "n_b", "odd_b"), "b")
-    sifted = sifted.where(_alike("odd_a", "odd_b") & ((F.col("n_a") > F.col("n_b")) | (F.col("a") < F.col("b")))).select("a", "b")
-    pairs = cut_lineage(sifted)
+    pairs = cut_lineage(met)
     any_hot = not hot.isEmpty()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("l"))
     if any_hot:
         hot = small_side(hot.select("key"))
         members = cut_lineage(probe.join(hot, "key", "left_semi").select(F.col("a").alias("l"), "key"))  # lines that index a key probe it, too
         wanted = wanted.union(members.select("l"))
-    chosen = cut_lineage(distinct.join(wanted.distinct(), "l", "left_semi").select("l", "i1", "i2", "n", "odd", "first"))
+    chosen = cut_lineage(distinct.join(wanted.distinct(), "l", "left_semi").select("l", "i1", "i2", "n", "first"))
     texts = lines.select("i1", "i2", "line").join(small_side(chosen.select("i1", "i2"), 1_000_000), ["i1", "i2"], "left_semi").groupBy("i1", "i2").agg(F.first("line").alias("line"))
-    known = cut_lineage(chosen.join(texts, ["i1", "i2"]).select("l", "line", "n", "odd", "first"))
+    known = cut_lineage(chosen.join(texts, ["i1", "i2"]).select("l", "line", "n", letter_parity().alias("odd"), "first"))
     found = earlier_of(pairs, known)
     if any_hot:
         found = found.union(_near_in_hot_keys(members, known))
@@ -251,7 +243,7 @@ def _later(mine: DataFrame, others: DataFrame, x: str, y: str, hot: DataFrame, k
 
     one = mine.join(hot, "key").select("key", F.pmod(F.xxhash64(x), F.col("parts")).alias("part"), F.col(x).alias(f"l_{x}")).join(texts(x), f"l_{x}")
     all_of = others.join(hot, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col(y).alias(f"l_{y}")).join(texts(y), f"l_{y}")
-    near = (F.col("l_a") != F.col("l_b")) & (F.col(f"first_{y}") < F.col(f"first_{x}")) & (F.col("n_a") >= F.col("n_b")) & _alike("odd_a", "odd_b") & _within("n_b")
+    near = (F.col("l_a") != F.col("l_b")) & (F.col(f"first_{y}") < F.col(f"first_{x}")) & (F.col("n_a") >= F.col("n_b")) & _alike("odd_a", "odd_b") & _within()
     return one.join(all_of, (one["key"] == all_of["key"]) & (one["part"] == all_of["part"]) & near, "left_semi").select(F.col(f"l_{x}").alias("l"))
 
 
@@ -261,7 +253,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     Of rows equal in id and text one is the earliest; ``first`` are the lines that only the others of them lose.
     """
     lines = lines_of(docs)
-    keyed = lines.select("k1", "k2", "id", "pos", "i1", "i2", F.struct("n", letter_parity().alias("odd"), F.expr(index_keys()).alias("ix"), F.expr(probe_keys()).alias("pr")).alias("of"))
+    keyed = lines.select("k1", "k2", "id", "pos", "i1", "i2", F.struct("n", F.expr(index_keys()).alias("ix"), F.expr(probe_keys()).alias("pr")).alias("of"))
     merged = keyed.groupBy("i1", "i2").agg(F.count("*").alias("copies"), F.min(_place("of")).alias("first"))
     at = F.struct(*[F.col(f"first.{c}").alias(c) for c in ("none", "id", "k1", "k2", "pos")]).alias("first")
     distinct = cut_lineage(merged.select(F.monotonically_increasing_id().alias("l"), "i1", "i2", "copies", at, "first.of.*"))

@@ -155,7 +155,7 @@ WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documen
 lines AS MATERIALIZED (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM docs),
 said AS MATERIALIZED (SELECT * FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 d AS MATERIALIZED (SELECT line, length(line) AS n, min(struct_pack(doc_id := doc_id, pos := pos)) AS first FROM said GROUP BY line),
-pairs AS (SELECT a.line AS a, b.line AS b, least(a.n, b.n) AS n FROM d a JOIN d b ON b.n BETWEEN a.n - {line_dedup.EDITS} AND a.n + {line_dedup.EDITS} AND b.first < a.first),
+pairs AS (SELECT a.line AS a, b.line AS b, least(a.n, b.n) AS n FROM d a JOIN d b ON b.n BETWEEN a.n - {line_dedup.EDITS} AND a.n + {line_dedup.EDITS} AND b.first < a.first AND (a.n >= {line_dedup.MIN_CHARS}) = (b.n >= {line_dedup.MIN_CHARS})),
 near AS (SELECT DISTINCT a AS line FROM pairs WHERE n >= {line_dedup.MIN_CHARS // 2}
   AND levenshtein({_one_byte('a')}, {_one_byte('b')}) <= CASE WHEN n >= {line_dedup.MIN_CHARS} THEN {line_dedup.EDITS} ELSE 1 END),
 gone AS (SELECT doc_id, pos FROM said JOIN d USING (line) LEFT JOIN near ON near.line = said.line

@@ -92,8 +92,8 @@ def brute(rows):
     near = set()
     for a in first:
         for b in first:
-            t = edits_of(min(len(a), len(b)))
-            if a != b and t and abs(len(a) - len(b)) <= t and first[b] < first[a] and within(a, b, t):
+            t = edits_of(len(a))
+            if a != b and t and t == edits_of(len(b)) and abs(len(a) - len(b)) <= t and first[b] < first[a] and within(a, b, t):
                 near.add(a)
                 break
     out = [[] for _ in rows]
