@@ -253,7 +253,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     Of rows equal in id and text one is the earliest; ``first`` are the lines that only the others of them lose.
     """
     lines = lines_of(docs)
-    keyed = lines.select("k1", "k2", "id", "pos", "i1", "i2", F.struct("n", F.expr(index_keys()).alias("ix"), F.expr(probe_keys()).alias("pr")).alias("of"))
+    # the few short lines by themselves, as one expression for all lengths is too large a method to be compiled well
+    long, short = lines.where(F.col("n") >= MIN_CHARS), lines.where(F.col("n") < MIN_CHARS)
+    with_keys = lambda df, t: df.select("k1", "k2", "id", "pos", "i1", "i2", F.struct("n", F.expr(index_keys(edits=t)).alias("ix"), F.expr(probe_keys(edits=t)).alias("pr")).alias("of"))
+    keyed = with_keys(long, EDITS).unionByName(with_keys(short, None))
     merged = keyed.groupBy("i1", "i2").agg(F.count("*").alias("copies"), F.min(_place("of")).alias("first"))
     at = F.struct(*[F.col(f"first.{c}").alias(c) for c in ("none", "id", "k1", "k2", "pos")]).alias("first")
     distinct = cut_lineage(merged.select(F.monotonically_increasing_id().alias("l"), "i1", "i2", "copies", at, "first.of.*"))
