@@ -69,12 +69,18 @@ def both_directions(edges: DataFrame, drop_self_loops: bool = True) -> DataFrame
 # --- compressed rows ---------------------------------------------------------------------
 
 
-def running_before(rows: DataFrame, key: str, value: str, chunks: int = 64) -> DataFrame:
+#: Rows of one range of a running sum.
+RANGE_ROWS = 1 << 20
+
+
+def running_before(rows: DataFrame, key: str, value: str, chunks: int | None = None) -> DataFrame:
     """Add ``offset``: the sum of ``value`` over all smaller keys, without sorting all rows in one task.
 
     Keys (unique) are cut into ranges; range totals are summed up, then each range
-    adds its rows' running sum to its start.
+    adds its rows' running sum to its start.  There are as many ranges as keep each to
+    about RANGE_ROWS rows, 8 at least.
     """
+    chunks = chunks or max(8, -(-rows.count() // RANGE_ROWS))
     by = rows.repartitionByRange(chunks, key).withColumn("__part", F.spark_partition_id())
     from ..plans.loops import cut
 
@@ -147,10 +153,18 @@ def star(spark: SparkSession, m: int, mode: int = 0) -> DataFrame:
     return out
 
 
+#: A factor of a Kronecker product that every task may hold.
+KRON_ENTRIES = 1_000_000
+
+
 def kron(b: DataFrame, c: DataFrame, c_rows: int, c_cols: int, lower: bool = False) -> DataFrame:
-    """Kronecker product; a factor is a generator's input of known small size, so the smaller is broadcast by its count."""
+    """Kronecker product; the factor of fewer entries is counted and broadcast, and more than KRON_ENTRIES are refused."""
+    small = b if (nb := b.count()) < (nc := c.count()) else c
+    if min(nb, nc) > KRON_ENTRIES:
+        raise ValueError(f"the smaller factor has more than {KRON_ENTRIES} entries")
     x, y = b.select(F.col("row").alias("rb"), F.col("col").alias("cb")), c.select(F.col("row").alias("rc"), F.col("col").alias("cc"))
-    out = x.join(y).select((F.col("rb") * c_rows + F.col("rc")).alias("row"), (F.col("cb") * c_cols + F.col("cc")).alias("col"))
+    pairs = y.crossJoin(F.broadcast(x)) if small is b else x.crossJoin(F.broadcast(y))
+    out = pairs.select((F.col("rb") * c_rows + F.col("rc")).alias("row"), (F.col("cb") * c_cols + F.col("cc")).alias("col"))
     return tril(out, -1) if lower else out
 
 

@@ -16,8 +16,8 @@ def histogram(index: DataFrame, size: int | None = None, col: str = "idx") -> Da
 
 
 def index_gather(requests: DataFrame, table: DataFrame) -> DataFrame:
-    """(i, val): the table's (idx, val) value for each request (i, idx); every request keeps its row."""
-    return requests.join(table, "idx").select("i", "val")
+    """(i, val): the table's (idx, val) value for each request (i, idx); a request whose index the table lacks gets null."""
+    return requests.join(table, "idx", "left").select("i", "val")
 
 
 def histogram_check(index: DataFrame, counts: DataFrame) -> DataFrame:

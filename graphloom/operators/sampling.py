@@ -20,10 +20,10 @@ def cumulative(counts: DataFrame, key: str, weight: str) -> DataFrame:
 def cdf_lookup(draws: DataFrame, shares: DataFrame, key: str, r: str = "r") -> DataFrame:
     """Draws (.., r) with the key whose share lo < r <= hi holds them (r = 0 goes to the first).
 
-    Both sides are merged in order of position and each draw takes the last share
-    that starts before it, within buckets of [0, 1) that each hold a share's start.
+    [0, 1) is cut into buckets, one for every 16 shares (64 at least); a share is entered
+    in all it touches, so a draw meets about as many shares wherever it falls.
     """
-    buckets = 64
+    buckets = max(64, shares.count() // 16)
     spread = shares.select(key, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * buckets), F.least(F.floor(F.col("hi") * buckets), F.lit(buckets - 1).cast("long")))).alias("__bucket"))
     at = draws.withColumn("__bucket", F.least(F.floor(F.col(r) * buckets), F.lit(buckets - 1).cast("long")))
     inside = ((F.col(r) > F.col("lo")) & (F.col(r) <= F.col("hi"))) | ((F.col(r) == 0) & (F.col("lo") == 0))

@@ -16,7 +16,7 @@ from ..sources import mtx
 from ..streaming.histogram import windowed_histogram
 from . import apps
 from .derive import DEGREES, HALF_E, INCIDENCE, PAIRS, PART_E, SQUARE, TRIANGLES, VERTICES, incidence, part_graph, part_pairs, part_vertices, square, table, weighted
-from .loops import cut
+from .loops import cut, shared_folder
 
 PARTS = 8
 PASSES = 10
@@ -131,26 +131,38 @@ def owner_local_global(spark, d):
 # --- predicates and set operations -------------------------------------------------------
 
 
+def both_inputs(**answers: DataFrame) -> DataFrame:
+    """One row an input: its name and what a predicate says of it."""
+    named = [df.select(F.lit(name).alias("input"), "*") for name, df in answers.items()]
+    return named[0].unionByName(named[1])
+
+
 @query(f'WITH {SQUARE} SELECT count(*) FILTER ("col" > "row") = 0 AS ok FROM m')
 def is_lower_triangular(spark, d):
     return matrix.is_lower_triangular(square(spark, d))
 
 
-@query(f'WITH {SQUARE} SELECT count(*) FILTER ("col" < "row") = 0 AS ok FROM m WHERE "col" >= "row"')
+@query(f"""WITH {SQUARE} SELECT 'square' AS input, count(*) FILTER ("col" < "row") = 0 AS ok FROM m
+UNION ALL SELECT 'upper', count(*) FILTER ("col" < "row") = 0 FROM m WHERE "col" >= "row\"""")
 def is_upper_triangular(spark, d):
-    return matrix.is_upper_triangular(matrix.triu(square(spark, d)))
+    a = square(spark, d)
+    return both_inputs(square=matrix.is_upper_triangular(a), upper=matrix.is_upper_triangular(matrix.triu(a)))
 
 
-@query("SELECT count(*) = count(DISTINCT p_partkey) AND min(p_partkey) >= 0 AND max(p_partkey) < count(*) AS ok FROM part")
+@query("""SELECT 'same' AS input, count(*) = count(DISTINCT p_partkey) AND min(p_partkey) >= 0 AND max(p_partkey) < count(*) AS ok FROM part
+UNION ALL SELECT 'paired', count(*) = count(DISTINCT p_partkey - p_partkey % 2) AND min(p_partkey) >= 0 AND max(p_partkey) < count(*) FROM part""")
 def is_perm(spark, d):
-    return matrix.is_permutation(part_vertices(spark, d).select(F.col("id").alias("i"), F.col("id").alias("p")))
+    v = part_vertices(spark, d).select(F.col("id").alias("i"), F.col("id").alias("p"))
+    return both_inputs(same=matrix.is_permutation(v), paired=matrix.is_permutation(v.withColumn("p", F.col("p") - F.col("p") % 2)))
 
 
 @query(f"""WITH {SQUARE}, s AS (SELECT "row", "col" FROM m UNION SELECT "col", "row" FROM m)
-SELECT (SELECT count(*) FROM (SELECT "row", "col" FROM s EXCEPT ALL SELECT "col", "row" FROM s)) = 0 AS equal""")
+SELECT 'symmetric' AS input, (SELECT count(*) FROM (SELECT "row", "col" FROM s EXCEPT ALL SELECT "col", "row" FROM s)) = 0 AS equal
+UNION ALL SELECT 'square', (SELECT count(*) FROM (SELECT "row", "col" FROM m EXCEPT ALL SELECT "col", "row" FROM m)) = 0""")
 def matrix_equal(spark, d):
-    s = matrix.symmetrize(square(spark, d))
-    return matrix.matrices_equal(s, matrix.transpose(s))
+    a = square(spark, d)
+    s = matrix.symmetrize(a)
+    return both_inputs(symmetric=matrix.matrices_equal(s, matrix.transpose(s)), square=matrix.matrices_equal(a, matrix.transpose(a)))
 
 
 @query(f"WITH {HALF_E}, {VERTICES} SELECT id FROM vs WHERE id NOT IN (SELECT src FROM h)")
@@ -236,10 +248,13 @@ def histogram(spark, d):
     return micro.histogram(table(spark, d, "lineitem").select(F.col("l_partkey").alias("idx")), n_ids(spark, d))
 
 
-@query("SELECT count(*) AS bad FROM lineitem WHERE false")
+@query("""SELECT 'right' AS input, CAST(0 AS BIGINT) AS bad UNION ALL SELECT 'one_more', count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey % 7 = 0""")
 def histogram_check(spark, d):
     idx = table(spark, d, "lineitem").select(F.col("l_partkey").alias("idx"))
-    return micro.histogram_check(idx, micro.histogram(idx)).agg(F.count("*").alias("bad"))
+    right = micro.histogram(idx)
+    wrong = right.withColumn("count", F.when(F.col("idx") % 7 == 0, F.col("count") + 1).otherwise(F.col("count")))
+    bad = lambda counts: micro.histogram_check(idx, counts).agg(F.count("*").alias("bad"))
+    return both_inputs(right=bad(right), one_more=bad(wrong))
 
 
 @query("SELECT l_orderkey * 8 + l_linenumber AS i, -(l_partkey + 1) AS val FROM lineitem JOIN part ON p_partkey = l_partkey")
@@ -588,8 +603,7 @@ def app_sssp_benchmark(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    return f"{base}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query(f'WITH {SQUARE} SELECT "row", "col" FROM m')

@@ -14,18 +14,24 @@ BANNER = re.compile(r"%%MatrixMarket\s+matrix\s+coordinate\s+(pattern|integer)\b
 
 
 def read_mtx(spark: SparkSession, path: str, check: bool = True) -> Matrix:
-    """Read a file into 0-based entries; raises ValueError on another banner or, with ``check``, a wrong entry count."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("n"))
-    head = lines.where("line <> ''").orderBy("n").limit(1).collect()
-    if not head or not BANNER.match(head[0]["line"]):
+    """Read a file, or a folder of parts one of which has the header, into 0-based entries.
+
+    Raises ValueError on another banner or, with ``check``, a wrong entry count.
+    Parts may be read in any order: the header is looked for where the banner stands.
+    """
+    read = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = read.where("line <> ''")
+    banners = lines.where("startswith(line, '%%')").limit(2).collect()
+    if len(banners) != 1 or not BANNER.match(banners[0]["line"]):
         raise ValueError(f"{path}: not a coordinate matrix of pattern or integer entries")
-    body = lines.where("line <> '' and not startswith(line, '%')")
-    size = body.orderBy("n").limit(1).first()
+    body = lines.where("not startswith(line, '%')")
+    size = body.where(F.col("file") == banners[0]["file"]).orderBy("block", "n").first()
     if size is None or len(size["line"].split()) < 3:
         raise ValueError(f"{path}: no size line")
     rows, cols, nnz = map(int, size["line"].split()[:3])
     fields = F.split("line", r"\s+")
-    entries = body.where(F.col("n") > size["n"]).select((fields[0].cast("long") - 1).alias("row"), (fields[1].cast("long") - 1).alias("col"))
+    header = (F.col("file") == size["file"]) & (F.col("block") == size["block"]) & (F.col("n") == size["n"])
+    entries = body.where(~header).select((fields[0].cast("long") - 1).alias("row"), (fields[1].cast("long") - 1).alias("col"))
     if check:
         bad = entries.agg(F.count("*").alias("n"), F.count(F.when((F.col("row") < 0) | (F.col("row") >= rows) | (F.col("col") < 0) | (F.col("col") >= cols), 1)).alias("out")).first()
         if bad["n"] != nnz or bad["out"]:
@@ -33,14 +39,19 @@ def read_mtx(spark: SparkSession, path: str, check: bool = True) -> Matrix:
     return Matrix(entries, rows, cols)
 
 
-def write_mtx(m: Matrix, path: str) -> None:
-    """Write one folder of text parts whose first file starts with the banner and size; entries are 1-based and sorted."""
+def write_mtx(m: Matrix, path: str, single: bool = False) -> None:
+    """Write a folder of text parts whose first file starts with the banner and size; entries are 1-based and sorted.
+
+    ``single`` writes one part, a file that any reader of the format takes; one task sorts it.
+    """
     spark = m.entries.sparkSession
     nnz = m.entries.count()
-    head = spark.createDataFrame([(0, -2, "%%MatrixMarket matrix coordinate pattern"), (0, -1, f"{m.numrows} {m.numcols} {nnz}")], "r long, c long, value string")
+    head = spark.createDataFrame([(0, -2, "%%MatrixMarket matrix coordinate pattern general"), (0, -1, f"{m.numrows} {m.numcols} {nnz}")], "r long, c long, value string")
     body = m.entries.select((F.col("row") + 1).alias("r"), (F.col("col") + 1).alias("c")).withColumn("value", F.concat_ws(" ", "r", "c"))
+    lines = head.union(body)
     # range partitions are written in order, so the parts read one after another are the file
-    head.union(body).repartitionByRange("r", "c").sortWithinPartitions("r", "c").select("value").write.text(path)
+    dealt = lines.coalesce(1) if single else lines.repartitionByRange("r", "c")
+    dealt.sortWithinPartitions("r", "c").select("value").write.text(path)
 
 
 def write_metadata(m: Matrix, path: str, writers: int = 1) -> None:

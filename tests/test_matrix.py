@@ -147,3 +147,37 @@ def test_kmer_matrix_has_no_empty_line(spark):
 def test_hypergeometric_free_helpers(spark):
     assert generate.probability(100, 35) == pytest.approx(0.68) and generate.probability(10, 100) == 1.0
     assert np.isclose(generate.expected_edges(3, 0.5)[0], 1.5)
+
+
+def test_matrix_market_in_many_parts(spark, tmp_path):
+    from graphloom.schema import Matrix
+
+    a = spark.range(2000).selectExpr("id % 97 as row", "id as col")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, single in (("parts", False), ("one", True)):
+            path = tmp_path / name
+            mtx.write_mtx(Matrix(a, 97, 2000), str(path), single)
+            files = sorted(x for x in path.glob("part-*"))
+            assert single == (len(files) == 1)
+            back = mtx.read_mtx(spark, str(path))
+            assert (back.numrows, back.numcols) == (97, 2000)
+            assert sorted(map(tuple, back.entries.collect())) == sorted(map(tuple, a.collect()))
+        text = files[0].read_text().splitlines()
+        assert text[0].startswith("%%MatrixMarket") and text[1] == "97 2000 2000" and len(text) == 2002
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    (tmp_path / "integer.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% note\n3 3 2\n1 2 7\n3 3 9\n")
+    assert sorted(map(tuple, mtx.read_mtx(spark, str(tmp_path / "integer.mtx")).entries.collect())) == [(0, 1), (2, 2)]
+
+
+def test_unknown_requests_and_large_factors(spark, monkeypatch):
+    from graphloom.operators import matrix, micro
+
+    got = micro.index_gather(spark.createDataFrame([(1, 5), (2, 6)], "i long, idx long"), spark.createDataFrame([(5, 50)], "idx long, val long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 50), (2, None)]
+    monkeypatch.setattr(matrix, "KRON_ENTRIES", 3)
+    a = spark.range(4).selectExpr("id as row", "id as col")
+    with pytest.raises(ValueError):
+        matrix.kron(a, a, 4, 4)
