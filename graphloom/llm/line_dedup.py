@@ -274,9 +274,10 @@ def _keyed(docs: DataFrame, names: list[str], text_col: str, id_col: str) -> Dat
     return docs.select(boxed(docs, names), *keys, col(id_col).alias("id"), col(text_col).alias("text"))
 
 
-def _decided(rows: DataFrame) -> DataFrame:
-    """``rows`` (row, k1, k2, ..) with ``dropped``, null if nothing goes."""
+def _decided(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """(k1, k2, carried, dropped) of ``rows`` (k1, k2, id, text, ..); ``dropped`` is null if nothing goes.  Only ``carried`` is shuffled."""
     gone = dropped_lines(rows.select("k1", "k2", "id", "text"))
+    rows = rows.select("k1", "k2", *carried)
     repeated = cut_lineage(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1"))
     if repeated.isEmpty():
         return rows.join(gone.drop("first"), ["k1", "k2"], "left")
@@ -297,14 +298,14 @@ def decide(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     lines; rows of one id with other texts are in order of a hash.  Rows without an id
     come last.  Blank lines stay; null and blank texts lose nothing.
     """
-    rows = _decided(_keyed(docs, [id_col], text_col, id_col))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    return rows.select(F.col("id").alias(id_col), n_lines.alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    rows = _decided(_keyed(docs, [id_col], text_col, id_col).withColumn("n_lines", n_lines), ["id", "n_lines"])
+    return rows.select(F.col("id").alias(id_col), "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the dropped lines gone from the text; every row and all other columns stay."""
-    rows = _decided(_keyed(docs, [c for c in docs.columns if c != text_col], text_col, id_col))
+    rows = _decided(_keyed(docs, [c for c in docs.columns if c != text_col], text_col, id_col), ["row", "text"])
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(dropped, i)), '\\n')")
     text = F.when(F.col("dropped").isNull() | (F.size("dropped") == 0), F.col("text")).otherwise(kept)
     return rows.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
