@@ -27,7 +27,7 @@ def probability(n: int, nz_per_row: float) -> float:
     return min(1.0, 2.0 * (nz_per_row - 1) / n)
 
 
-def uniform_edges(spark: SparkSession, scale: int, edgefactor: int = 16, seed: int = 27491095) -> GeneratedGraph:
+def uniform_edges(spark: SparkSession, scale: int, edgefactor: int = 16, seed: int = 20011) -> GeneratedGraph:
     """Edges with both ends uniform, as u <= v; loops and repeats may occur."""
     n = 1 << scale
     a, b = uniform_int(n, "id", F.lit(0), seed=seed), uniform_int(n, "id", F.lit(1), seed=seed)

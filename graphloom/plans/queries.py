@@ -16,6 +16,7 @@ from ..sources import mtx
 from ..streaming.histogram import windowed_histogram
 from . import apps
 from .derive import DEGREES, HALF_E, INCIDENCE, PAIRS, PART_E, SQUARE, TRIANGLES, VERTICES, incidence, part_graph, part_pairs, part_vertices, square, table, weighted
+from .hash_sql import hashed, scrambled, signed, uniform
 from .loops import cut, shared_folder
 
 PARTS = 8
@@ -502,17 +503,34 @@ def _scale(spark: SparkSession, d: str) -> int:
     return max(6, (n_ids(spark, d) - 1).bit_length() - 3)
 
 
-@query()
+_IDS = "n AS (SELECT coalesce(max(p_partkey), 0) + 1 AS n FROM part), s AS (SELECT greatest(6, length(bin(n - 1)) - 3) AS scale FROM n), ids AS (SELECT unnest(range(16 * (1::BIGINT << scale))) AS id FROM s)"
+
+
+def _below(n: str, *longs: str, ints: tuple) -> str:
+    return f"floor({uniform(*longs, ints=ints)} * {n})::BIGINT"
+
+
+@query(f"WITH {_IDS}, ab AS MATERIALIZED (SELECT {_below('(1::BIGINT << scale)', 'id', ints=(0, 20011))} AS a, {_below('(1::BIGINT << scale)', 'id', ints=(1, 20011))} AS b FROM ids, s) SELECT least(a, b) AS u, greatest(a, b) AS v FROM ab")
 def gen_uniform(spark, d):
     return generate.generate(spark, "uniform", _scale(spark, d)).edges
 
 
-@query()
+def _quadrants_sql() -> str:
+    a, b, c = generate.QUADRANTS
+    draws = f"x AS MATERIALIZED (SELECT id, bit, {uniform('id', ints=('bit', 12345))} AS x FROM ids, (SELECT unnest(range(scale)) AS bit FROM s))"
+    return f"{_IDS}, {draws}, q AS MATERIALIZED (SELECT id, bit, x >= {a + b}::DOUBLE AS down, x >= {a}::DOUBLE AND x < {a + b}::DOUBLE OR x > {a + b + c}::DOUBLE AS rest FROM x)"
+
+
+@query(f"WITH {_quadrants_sql()} SELECT sum(down::BIGINT << (scale - 1 - bit))::BIGINT AS u, sum(rest::BIGINT << (scale - 1 - bit))::BIGINT AS v FROM q, s GROUP BY id")
 def gen_rmat(spark, d):
     return generate.generate(spark, "rmat", _scale(spark, d)).edges
 
 
-@query()
+@query(f"""WITH RECURSIVE {_quadrants_sql()},
+w(id, bit, u, v) AS (SELECT id, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM ids UNION ALL
+  SELECT id, bit + 1, u * 2 + (down AND (rest OR u <> v))::BIGINT, v * 2 + (rest OR down AND u = v)::BIGINT FROM w JOIN q USING (id, bit)),
+raw AS (SELECT id, 'u' AS side, u AS x FROM w JOIN s ON bit = scale UNION ALL SELECT id, 'v', v FROM w JOIN s ON bit = scale),
+{scrambled("raw", "s", 12345)} SELECT a.x AS u, b.x AS v FROM z a JOIN z b ON b.id = a.id WHERE a.side = 'u' AND b.side = 'v'""")
 def gen_kronecker(spark, d):
     return generate.generate(spark, "kronecker", _scale(spark, d)).edges
 
@@ -523,17 +541,19 @@ def gen_erdos_renyi(spark, d):
     return generate.erdos_renyi(spark, n, generate.probability(n, 35), "symmetric")
 
 
-@query()
+@query(f"""WITH {_IDS}, r AS (SELECT unnest(range(1::BIGINT << scale)) AS r FROM s), c AS (SELECT unnest(range(64)) AS c)
+SELECT r AS "row", c AS "col" FROM r, c WHERE {uniform("r", "c", ints=(12345,))} < 0.02::DOUBLE
+UNION SELECT r, {_below("64", "r", ints=(12346,))} FROM r UNION SELECT {_below("(1::BIGINT << scale)", "c", ints=(12347,))}, c FROM c, s""")
 def gen_kmer(spark, d):
     return generate.kmer_matrix(spark, 1 << _scale(spark, d), 64, 0.02)
 
 
-@query()
+@query(f"WITH {HALF_E}, v AS (SELECT DISTINCT src AS id FROM h) SELECT id FROM v ORDER BY {signed(hashed('id', ints=(2,)))}, id LIMIT 64")
 def bfs_roots(spark, d):
     return generate.search_roots(part_graph(spark, d), 0)
 
 
-@query()
+@query(f"WITH {_IDS}, k AS (SELECT i, {signed(hashed('i', ints=(12345,)))} AS k FROM (SELECT unnest(range(n)) AS i FROM n)) SELECT i, row_number() OVER (ORDER BY k, i) - 1 AS p FROM k")
 def rand_perm(spark, d):
     return generate.random_permutation(spark, n_ids(spark, d))
 
@@ -551,17 +571,26 @@ def cdf_lookup(spark, d):
     return sampling.cdf_lookup(draws, shares, "k").select("draw", "k")
 
 
-@query()
+def _sampled_sql(by: str, other: str, draws: int) -> str:
+    return f"""WITH {SQUARE}, n AS (SELECT "{by}" AS k, count(*) AS n FROM m GROUP BY 1),
+s AS MATERIALIZED (SELECT k, (sum(n) OVER (ORDER BY k) - n) / (SELECT sum(n) FROM n)::DOUBLE AS lo, sum(n) OVER (ORDER BY k) / (SELECT sum(n) FROM n)::DOUBLE AS hi FROM n),
+q AS MATERIALIZED (SELECT id, {uniform("id", ints=(12345,))} AS r FROM range({draws}) t(id)),
+p AS (SELECT k, row_number() OVER (ORDER BY k, id) - 1 AS i FROM q JOIN s ON lo < r AND r <= hi OR r = 0 AND lo = 0)
+SELECT i AS "{by}", "{other}" FROM p JOIN m ON m."{by}" = k"""
+
+
+@query(_sampled_sql("row", "col", 500))
 def sample_rows(spark, d):
     return sampling.sample_rows(square(spark, d), 500)
 
 
-@query()
+@query(_sampled_sql("col", "row", 50))
 def sample_columns(spark, d):
     return sampling.sample_columns(square(spark, d), 50)
 
 
-@query()
+@query(f"""WITH {PART_E}, k AS MATERIALIZED (SELECT u, v FROM e WHERE {uniform("u", "v", ints=(12345,))} < 0.5::DOUBLE)
+SELECT count(*) / 0.125::DOUBLE AS triangles FROM k x JOIN k y ON y.u = x.v JOIN k z ON z.u = x.u AND z.v = y.v""")
 def approximate_triangles(spark, d):
     return sampling.approximate_triangles(part_graph(spark, d), 0.5)
 
