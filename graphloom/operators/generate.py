@@ -87,7 +87,8 @@ def with_weights(edges: DataFrame, seed: int = 7) -> DataFrame:
 
 def erdos_renyi_lower(spark: SparkSession, n: int, p: float, seed: int = 12345) -> DataFrame:
     """(row, col), col < row, each pair with probability p: geometric gaps, so work is in proportion to the entries."""
-    rows = spark.range(1, n).select("id")
+    # short and long rows take turns, so that every partition draws about as many entries
+    rows = spark.range(1, n).select(F.when(F.col("id") % 2 == 1, F.expr("(id + 1) div 2")).otherwise(n - F.expr("id div 2")).alias("id"))
     if p <= 0:
         return rows.select(F.col("id").alias("row"), F.col("id").alias("col")).where(F.lit(False))
 

@@ -458,9 +458,15 @@ def bfs_report(spark, d):
     return stats.seven_numbers(runs, "seconds").join(F.broadcast(stats.harmonic_teps(runs)))
 
 
-@query()
+def _converged_sql(passes: int = 60) -> str:
+    changes = " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(a.pr - b.pr)) AS e FROM p{i} a JOIN p{i + 1} b USING (id)" for i in range(passes))
+    ranks = " UNION ALL ".join(f"SELECT {i} AS i, id, pr FROM p{i}" for i in range(passes))
+    return f"{_pagerank_sql(passes)}, last AS (SELECT min(i) AS i FROM ({changes}) WHERE e < 1e-5) SELECT id, round(pr, 9) AS pagerank FROM ({ranks}) JOIN last USING (i)"
+
+
+@query(_converged_sql())
 def pagerank_converged(spark, d):
-    return pagerank.pagerank(*graph(spark, d))
+    return pagerank.pagerank(*graph(spark, d)).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 # --- generators --------------------------------------------------------------------------
