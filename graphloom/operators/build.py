@@ -55,3 +55,10 @@ def push_pull_estimate(lower: DataFrame) -> DataFrame:
     c = lower.groupBy(F.col("col").alias("id")).agg(F.count("*").alias("c"))
     pulls, pushes = F.sum(F.coalesce("r", F.lit(0)) * F.coalesce("c", F.lit(0))), F.sum(F.coalesce(F.expr("r * (r - 1) div 2"), F.lit(0)))
     return r.join(c, "id", "full").agg(F.coalesce(pushes, F.lit(0)).alias("pushes"), F.coalesce(pulls, F.lit(0)).alias("pulls"))
+
+
+def part_stats(half_edges: DataFrame, parts: int) -> DataFrame:
+    """One row: the most and fewest half-edges of a part, their whole mean, the difference, and that in percent of the mean (0 if there are no edges)."""
+    s = load_balance(half_edges, parts).select("highest", "lowest", F.expr("total div {}".format(parts)).alias("average"))
+    s = s.withColumn("delta", F.col("highest") - F.col("lowest"))
+    return s.withColumn("percent", F.coalesce(F.try_divide(F.col("delta") * 100.0, F.col("average")), F.lit(0.0)))

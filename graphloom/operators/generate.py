@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform, uniform_int
@@ -80,9 +80,23 @@ def kronecker_edges(spark: SparkSession, scale: int, edgefactor: int = 16, seed:
     return GeneratedGraph(edges, scale, edgefactor)
 
 
-def with_weights(edges: DataFrame, seed: int = 7) -> DataFrame:
-    """Add a weight in [0, 1) that is the same for both directions of a pair."""
-    return edges.withColumn("w", uniform(F.greatest("u", "v"), F.least("u", "v"), seed=seed))
+def with_weights(edges: DataFrame, seed: int = 7, largest: int | None = None) -> DataFrame:
+    """Add a weight in [0, 1), or a whole one in 1 .. ``largest``, that is the same for both directions of a pair."""
+    ends = F.greatest("u", "v"), F.least("u", "v")
+    return edges.withColumn("w", uniform(*ends, seed=seed) if largest is None else uniform_int(largest, *ends, seed=seed) + 1)
+
+
+def shuffle_edges(edges: DataFrame, seed: int = 3) -> DataFrame:
+    """(pos, u, v): the edge multiset in random order, pos from 0 without gaps.
+
+    Keys are hashes of an edge and its number among its repeats, so the order does not
+    depend on partitions.
+    """
+    from .matrix import running_before
+
+    nth = F.row_number().over(Window.partitionBy("u", "v").orderBy("u")).cast("long")
+    keys = edges.select("u", "v", nth.alias("nth")).select(F.struct(F.xxhash64("u", "v", "nth", F.lit(seed)).alias("k"), "u", "v", "nth").alias("key"), F.lit(1).alias("one"))
+    return running_before(keys, "key", "one").select(F.col("offset").alias("pos"), "key.u", "key.v")
 
 
 def erdos_renyi_lower(spark: SparkSession, n: int, p: float, seed: int = 12345) -> DataFrame:

@@ -40,6 +40,7 @@ def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, tol:
             after = cut(after)
         ranks = after
     table.unpersist()
+    vs.unpersist()
     return ranks
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
@@ -35,8 +35,8 @@ def sample_rows(a: DataFrame, c: int, seed: int = 12345) -> DataFrame:
     counts = a.groupBy("row").agg(F.count("*").alias("n"))
     draws = a.sparkSession.range(c).select(F.col("id").alias("draw"), uniform("id", seed=seed).alias("r"))
     picked = cut(cdf_lookup(draws, cumulative(counts, "row", "n"), "row").select("draw", "row"))
-    number = F.row_number().over(Window.orderBy("row", "draw")).cast("long") - 1  # c rows, the sample's size
-    return picked.select("row", number.alias("__new")).join(a, "row").select(F.col("__new").alias("row"), "col")
+    place = running_before(picked.select(F.struct("row", "draw").alias("at"), F.lit(1).alias("one")), "at", "one")
+    return place.select("at.row", F.col("offset").alias("__new")).join(a, "row").select(F.col("__new").alias("row"), "col")
 
 
 def sample_columns(a: DataFrame, c: int, seed: int = 12345) -> DataFrame:

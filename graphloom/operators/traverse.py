@@ -30,20 +30,22 @@ def bfs(edges: DataFrame, vertices: DataFrame, root: int, direction: str = "top_
 
     The root is its own parent; unreached vertices have -1.  ``top_down`` expands the
     frontier's edges; ``bottom_up`` lets unreached vertices look for a neighbour in it.
+    Edges have both directions, so a neighbour of a level lies in it, the one before or
+    the next: what ``top_down`` finds is held against two levels, not against all seen.
     """
     half = both_directions(edges).distinct().repartition("src").persist()
     seen = cut(_start(vertices, root, parent=F.col("id"), depth=F.lit(0)))
-    frontier, depth = seen, 0
+    before, frontier, depth = seen.limit(0), seen, 0
     while True:
         depth += 1
         if direction == "top_down":
             reached = half.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-            new = reached.join(seen.select("id"), "id", "left_anti")
+            new = reached.join(before.union(frontier).select("id"), "id", "left_anti")
         else:
             open_ = vertices.select("id").join(seen.select("id"), "id", "left_anti").select(F.col("id").alias("src"))
             found = half.join(open_, "src").join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi")
             new = found.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("parent"))
-        frontier = cut(new.select("id", "parent", F.lit(depth).alias("depth")))
+        before, frontier = frontier, cut(new.select("id", "parent", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)

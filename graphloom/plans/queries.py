@@ -298,6 +298,14 @@ def graph_stats(spark, d):
     return build.graph_stats(*graph(spark, d))
 
 
+@query(f"""WITH {HALF_E}, c AS (SELECT src % {PARTS} AS owner, count(*) AS load FROM h GROUP BY 1),
+s AS (SELECT max(coalesce(load, 0)) AS highest, min(coalesce(load, 0)) AS lowest, (coalesce(sum(load), 0) // {PARTS})::BIGINT AS average FROM range({PARTS}) t(owner) LEFT JOIN c USING (owner))
+SELECT highest, lowest, average, highest - lowest AS delta, round(coalesce((highest - lowest) * 100.0::DOUBLE / nullif(average, 0), 0), 6) AS percent FROM s""")
+def part_stats(spark, d):
+    e, v = graph(spark, d)
+    return build.part_stats(build.build(e, v, n_ids(spark, d), PARTS).edges, PARTS).withColumn("percent", F.round("percent", 6))
+
+
 @query("""WITH s AS (SELECT list_sort(list(o_totalprice)) AS x, count(*) AS n, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS stddev FROM orders)
 SELECT n, round(mean, 4) AS mean, round(stddev, 4) AS stddev, x[1] AS "min", round((x[(n - 1) // 4 + 1] + x[n // 4 + 1]) / 2, 4) AS firstquartile,
 round((x[(n - 1) // 2 + 1] + x[n // 2 + 1]) / 2, 4) AS median, round((x[n - 1 - (n - 1) // 4 + 1] + x[n - 1 - n // 4 + 1]) / 2, 4) AS thirdquartile, x[n] AS "max" FROM s""")
@@ -414,35 +422,53 @@ def teps_edge_count(spark, d):
     return traverse.traversed_edges(e, traverse.bfs(e, v, first_id(e)))
 
 
-def _sssp_sql(rounds: int) -> str:
+@query(_BFS + " SELECT count(*) AS edges FROM h JOIN dist ON dist.id = h.src WHERE h.dst < h.src")
+def teps_edge_count_strict(spark, d):
+    e, v = graph(spark, d)
+    return traverse.traversed_edges(e, traverse.bfs(e, v, first_id(e)), strict=True)
+
+
+def _sssp_steps(rounds: int) -> str:
     w = "1 + (least(src, dst) * 31 + greatest(src, dst) * 17) % 100"
     steps = [f"hw AS MATERIALIZED (SELECT src, dst, {w} AS w FROM h)", "s0 AS MATERIALIZED (SELECT min(u) AS id, CAST(0 AS BIGINT) AS x FROM e)"]
     for i in range(rounds):
         steps.append(f"s{i + 1} AS MATERIALIZED (SELECT id, min(x) AS x FROM (SELECT id, x FROM s{i} UNION ALL SELECT dst, x + w FROM s{i} JOIN hw ON src = id) GROUP BY id)")
-    return f"WITH {HALF_E}, {VERTICES}, " + ", ".join(steps) + f" SELECT vs.id, round(coalesce(x / 100.0::DOUBLE, -1), 6) AS dist FROM vs LEFT JOIN s{rounds} USING (id)"
+    return f"WITH {HALF_E}, {VERTICES}, " + ", ".join(steps)
 
 
-@query(_sssp_sql(40))
+@query(_sssp_steps(40) + " SELECT vs.id, round(coalesce(x / 100.0::DOUBLE, -1), 6) AS dist FROM vs LEFT JOIN s40 USING (id)")
 def sssp_dist(spark, d):
     e, v = graph(spark, d)
     return traverse.sssp(cut(weighted(e)), v, first_id(e), delta=0.5).select("id", F.round("dist", 6).alias("dist"))
 
 
-_CHECKS = "SELECT unnest(['parent_range', 'reached_both_ways', 'root', 'edge_leaves_component', 'edge_spans_levels', 'tree_edge']) AS \"check\", CAST(0 AS BIGINT) AS violations"
+def _checks_sql(reached: str, far: str) -> str:
+    """No violation of a right result, and those of one whose depths are doubled and whose root claims not to be reached."""
+    names = "unnest(['parent_range', 'reached_both_ways', 'root', 'edge_leaves_component', 'edge_spans_levels', 'tree_edge']) AS \"check\""
+    at_root = "SELECT count(*) FROM e, root WHERE r IN (u, v)"
+    spans = f"SELECT count(*) FROM e JOIN {reached} a ON a.id = u JOIN {reached} b ON b.id = v, root WHERE r NOT IN (u, v) AND {far}"
+    return f""", root AS (SELECT min(u) AS r FROM e)
+SELECT 'right' AS input, {names}, 0::BIGINT AS violations
+UNION ALL SELECT 'doubled', {names}, unnest([0, 1, 1, ({at_root}), ({spans}), (SELECT count(*) - 1 FROM {reached})])"""
+
 
+def _judged(e: DataFrame, found: DataFrame, root: int, depth: str) -> DataFrame:
+    wrong = found.withColumn(depth, F.when(F.col(depth) > 0, F.col(depth) * 2).otherwise(F.col(depth))).withColumn("parent", F.when(F.col("id") == root, -1).otherwise(F.col("parent")))
+    return both_inputs(**{name: validate.validate(e, r, root, depth == "dist") for name, r in (("right", found), ("doubled", wrong))})
 
-@query(_CHECKS)
+
+@query(_BFS + _checks_sql("dist", "a.depth <> b.depth"))
 def validate_bfs(spark, d):
     e, v = graph(spark, d)
     root = first_id(e)
-    return validate.validate(e, cut(traverse.bfs(e, v, root)), root)
+    return _judged(e, cut(traverse.bfs(e, v, root)), root, "depth")
 
 
-@query(_CHECKS)
+@query(_sssp_steps(40) + _checks_sql("s40", "2 * abs(a.x - b.x) > 1 + (u * 31 + v * 17) % 100"))
 def validate_sssp(spark, d):
     e, v = graph(spark, d)
     e, root = cut(weighted(e)), first_id(e)
-    return validate.validate(e, cut(traverse.sssp(e, v, root)), root, weighted=True)
+    return _judged(e, cut(traverse.sssp(e, v, root)), root, "dist")
 
 
 @query()
@@ -547,6 +573,32 @@ def gen_erdos_renyi(spark, d):
     return generate.erdos_renyi(spark, n, generate.probability(n, 35), "symmetric")
 
 
+@query()
+def gen_erdos_renyi_modes(spark, d):
+    n = n_ids(spark, d)
+    one = lambda mode: generate.erdos_renyi(spark, n, generate.probability(n, 8), mode, unit_diagonal=True).select(F.lit(mode).alias("mode"), "row", "col")
+    return one("lower").union(one("upper")).union(one("asymmetric"))
+
+
+@query(f"""WITH r AS (SELECT unnest(range(1, 300)) AS r), p AS (SELECT r, unnest(range(r)) AS c FROM r)
+SELECT r AS "row", c AS "col" FROM p WHERE {uniform("r", "c", ints=(12345,))} < 0.1::DOUBLE""")
+def gen_erdos_renyi_naive(spark, d):
+    return generate.erdos_renyi_naive(spark, 300, 0.1)
+
+
+@query(f"""WITH {PART_E} SELECT u, v, {_below("255", "v", "u", ints=(7,))} + 1 AS whole, {uniform("v", "u", ints=(7,))} AS share FROM e""")
+def gen_weights(spark, d):
+    e = part_graph(spark, d)
+    return generate.with_weights(generate.with_weights(e, largest=255).withColumnRenamed("w", "whole")).withColumnRenamed("w", "share")
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT u, v, row_number() OVER (PARTITION BY u, v) AS nth FROM pairs),
+k AS MATERIALIZED (SELECT u, v, nth, {signed(hashed("u", "v", "nth", ints=(3,)))} AS k FROM n)
+SELECT row_number() OVER (ORDER BY k, u, v, nth) - 1 AS pos, u, v FROM k""")
+def gen_edge_shuffle(spark, d):
+    return generate.shuffle_edges(part_pairs(spark, d).select("u", "v"))
+
+
 @query(f"""WITH {_IDS}, r AS (SELECT unnest(range(1::BIGINT << scale)) AS r FROM s), c AS (SELECT unnest(range(64)) AS c)
 SELECT r AS "row", c AS "col" FROM r, c WHERE {uniform("r", "c", ints=(12345,))} < 0.02::DOUBLE
 UNION SELECT r, {_below("64", "r", ints=(12346,))} FROM r UNION SELECT {_below("(1::BIGINT << scale)", "c", ints=(12347,))}, c FROM c, s""")
@@ -595,6 +647,11 @@ def sample_columns(spark, d):
     return sampling.sample_columns(square(spark, d), 50)
 
 
+@query(f"""WITH {SQUARE} SELECT "row", "col" FROM m WHERE {uniform('"row"', '"col"', ints=(12345,))} < 0.25::DOUBLE""")
+def uniform_sample(spark, d):
+    return sampling.uniform_sample(square(spark, d), 0.25)
+
+
 @query(f"""WITH {PART_E}, k AS MATERIALIZED (SELECT u, v FROM e WHERE {uniform("u", "v", ints=(12345,))} < 0.5::DOUBLE)
 SELECT count(*) / 0.125::DOUBLE AS triangles FROM k x JOIN k y ON y.u = x.v JOIN k z ON z.u = x.u AND z.v = y.v""")
 def approximate_triangles(spark, d):
@@ -609,6 +666,24 @@ def app_triangles(spark, d):
     return apps.triangle_app(spark, kron="1 3 4 5", sample=0.7)
 
 
+@query()
+def app_triangles_random(spark, d):
+    return apps.triangle_app(spark)
+
+
+_STAR_PRODUCT = f'p AS (SELECT * FROM ({_kron_sql([3, 4, 5], 1)})), e AS MATERIALIZED (SELECT "col" AS u, "row" AS v FROM p)'
+
+
+@query(SQL["triangle_centrality"].replace(PART_E, _STAR_PRODUCT).replace(VERTICES, "vs AS MATERIALIZED (SELECT unnest(range(120)) AS id)"))
+def app_centrality(spark, d):
+    return apps.centrality_app(spark, kron="1 3 4 5").withColumn("centrality", F.round("centrality", 9))
+
+
+@query(SQL["jaccard_edges"].replace(PART_E, _STAR_PRODUCT))
+def app_jaccard(spark, d):
+    return apps.jaccard_app(spark, kron="1 3 4 5").withColumn("jaccard", F.round("jaccard", 9))
+
+
 @query()
 def app_pagerank(spark, d):
     return apps.pagerank_app(spark, rows=1000, nz_per_row=20)
@@ -649,6 +724,14 @@ def mtx_roundtrip(spark, d):
     return mtx.read_mtx(spark, path).entries
 
 
+@query(f'WITH {SQUARE} SELECT "row", "col" FROM m')
+def dataset_roundtrip(spark, d):
+    a, path = cut(square(spark, d)), _folder(spark)
+    shape = a.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
+    mtx.write_dataset(Matrix(a, (shape["r"] or 0) + 1, (shape["c"] or 0) + 1), path)
+    return mtx.read_dataset(spark, path).entries
+
+
 @query(f'WITH {SQUARE} SELECT max("row") + 1 AS numrows, max("col") + 1 AS numcols, count(*) AS nnz FROM m')
 def metadata_roundtrip(spark, d):
     a, path = cut(square(spark, d)), _folder(spark)
