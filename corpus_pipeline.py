@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontam, line_dedup, queries, simhash, toxicity
-from graphloom.llm.common import col, free_name, shared_folder
+from graphloom.llm.common import col, free_name, release, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -93,6 +93,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(path)
         if before is not None:
             _remove(spark, before)
+        release(spark)
         before = path
     return docs
 

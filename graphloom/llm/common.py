@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +68,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files and checkpoints go that only finished plans refer to.
+
+    Spark removes them when the driver's JVM collects its garbage; left to itself that
+    follows the driver's heap, not the disk, and files of many steps stand side by side.
+    """
+    for pause in (0.5, 0.3):  # events of the last job hold its plan for a moment
+        time.sleep(pause)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def content_key(*cols: Column | str) -> list[Column]:
     """Two 64-bit hashes that stand for a row's values (128 bits, so no chance meeting).
 

@@ -14,11 +14,14 @@ so few texts meet.  Each key's texts are compared where they meet, by sizes and
   number of shingles must allow for the overlap; only such pairs go out.
 
 So a large group of near copies costs a row a member and key, not its pairs.  All pairs
-are verified on the whole sets before they link anything.
+are verified on the whole sets before they link anything; sets meet for a part of the
+pairs at a time, as many as carry ``SHARE`` of all sets, so the disk that takes follows the
+texts, not the pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small_side
+from .common import cut_lineage, release, small_side
 
 #: Words of a shingle; the Jaccard index asked for is 4/5.
 WIDTH = 5
@@ -38,6 +41,8 @@ PARITIES = 512
 HOT, PART = 12, 4096
 #: Bits within which a text goes to a leader. Whether they link is verified, so this only saves work.
 NEAR = 14
+#: Sets that pairs carry to their other side at once, as a part of the sets of all texts.
+SHARE = 0.5
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -234,10 +239,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, distance: int
     chosen = cut_lineage(texts.join(wanted, "m", "left_semi").select("m", "k1", "k2"))
     rows = docs.select("k1", "k2", "text").join(small_side(chosen), ["k1", "k2"])
     sets = cut_lineage(whole_sets(rows).dropDuplicates(["m"]))
+    release(sets.sparkSession)
     left, right = (sets.select(F.col("m").alias(x), F.col("h").alias(f"h_{x}")) for x in "ab")
     same = "9 * size(array_intersect(h_a, h_b)) >= 4 * (n_a + n_b)"
-    linked = asked.join(left, "a").join(right, "b").where(same).select("a", "b", "far")
-    return cut_lineage(close.where("not far").select("a", "b", "far").union(linked))
+    carried, all_sets = asked.agg(F.sum("n_a")).first()[0] or 0, texts.agg(F.sum("n")).first()[0] or 1
+    parts = max(1, math.ceil(carried / (SHARE * all_sets)))
+    linked = close.where("not far").select("a", "b", "far")
+    for i in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i)
+        linked = linked.union(cut_lineage(some.join(left, "a").join(right, "b").where(same).select("a", "b", "far")))
+        release(sets.sparkSession)
+    return cut_lineage(linked)
 
 
 def _leaders(hot: DataFrame) -> DataFrame:
@@ -264,19 +276,24 @@ def _classes(found: DataFrame) -> DataFrame:
     return both.join(one.toDF("o", "c"), "o").groupBy("m").agg(F.least(F.min("c"), F.col("m"), F.min("o")).alias("c"))
 
 
-def links(texts: DataFrame, docs: DataFrame, distance: int) -> DataFrame:
+def meetings(texts: DataFrame) -> DataFrame:
+    """What ``meet`` finds among all keys of ``texts`` (m, n, prefix)."""
+    index = texts.select(F.posexplode("prefix").alias("i", "key"), "m", "n").select("key", "m", (F.shiftleft("n", 32) + F.col("i")).alias("place"))
+    return cut_lineage(index.repartition("key").sortWithinPartitions("key", "m").mapInArrow(meet, _MET))
+
+
+def links(texts: DataFrame, met: DataFrame, docs: DataFrame, distance: int) -> DataFrame:
     """(a, b): links that, with those of fingerprints up to ``distance`` bits apart, connect what all pairs of overlapping sets connect.
 
-    ``texts``: distinct sets (m, k1, k2, fp, n, odd, prefix); ``docs``: rows (k1, k2, text).
+    ``texts``: distinct sets (m, k1, k2, fp, n, odd); ``met``: their ``meetings``; ``docs``: rows (k1, k2, text).
     """
-    index = texts.select(F.posexplode("prefix").alias("i", "key"), "m", "n").select("key", "m", (F.shiftleft("n", 32) + F.col("i")).alias("place"))
-    met = cut_lineage(index.repartition("key").sortWithinPartitions("key", "m").mapInArrow(meet, _MET))
     hot = met.where("key is not null").select("key", F.col("a").alias("m"), F.col("b").alias("place"))
     any_hot = not hot.isEmpty()
     pairs = met.where("key is null").select("a", "b")
     if any_hot:
         facts = texts.select("m", "fp")
         pairs = pairs.union(_leaders(cut_lineage(hot.join(facts, "m").select("key", "m", "place", "fp"))))
+    release(docs.sparkSession)
     found = _verified(pairs, texts, docs, distance)
     if any_hot:
         classes = small_side(cut_lineage(_classes(found)))
@@ -287,8 +304,9 @@ def links(texts: DataFrame, docs: DataFrame, distance: int) -> DataFrame:
             parts = F.ceil(F.col("size") / PART)
             dealt = left.join(texts.select("m", "odd"), "m").select("key", "c", "m", "place", "odd", F.pmod(F.xxhash64("m"), parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("p"))
             tasks = dealt.select(F.xxhash64("key", F.least("part", "p"), F.greatest("part", "p")).alias("task"), "c", "m", "place", (F.col("part") <= F.col("p")).alias("mine"), "odd")
-            more = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(sift, _MET)
-            found = found.union(_verified(cut_lineage(more).select("a", "b"), texts, docs, distance))
+            more = cut_lineage(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(sift, _MET))
+            release(docs.sparkSession)
+            found = found.union(_verified(more.select("a", "b"), texts, docs, distance))
     return found.where("far").select("a", "b")
 
 
@@ -300,8 +318,12 @@ def fingerprint_links(docs: DataFrame, rows: DataFrame, distance: int) -> DataFr
     """
     sets = with_prefixes(docs, shingle_counts(docs)).groupBy("s1", "s2").agg(F.min(F.struct("k1", "k2", "n", "odd", "prefix")).alias("t"))
     one = sets.select(F.monotonically_increasing_id().alias("m"), "t.*")
-    texts = cut_lineage(one.join(rows.select("k1", "k2", "fp").dropDuplicates(["k1", "k2"]), ["k1", "k2"]))
-    found = links(texts.select("m", "k1", "k2", "fp", "n", "odd", "prefix"), docs, distance)
+    wide = cut_lineage(one.join(rows.select("k1", "k2", "fp").dropDuplicates(["k1", "k2"]), ["k1", "k2"]))
+    release(docs.sparkSession)
+    met, texts = meetings(wide), cut_lineage(wide.select("m", "k1", "k2", "fp", "n", "odd"))
+    del wide  # the prefixes go
+    release(docs.sparkSession)
+    found = links(texts, met, docs, distance)
     a, b = (texts.select(F.col("m").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
     pairs = found.join(a, "a").join(b, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
     return cut_lineage(pairs.where("a <> b").distinct())

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import overlap
-from .common import boxed, col, content_key, cut_lineage, small_side, unboxed
+from .common import boxed, col, content_key, cut_lineage, release, small_side, unboxed
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -228,6 +228,7 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     keyed = docs.select(boxed(docs), *keys, col(id_col).alias("id"), col(text_col).alias("text"))
     rows = cut_lineage(with_fingerprints(keyed, ["id", "k1", "k2"]))
     more = overlap.fingerprint_links(keyed, rows, DISTANCE) if overlapping else None
+    release(docs.sparkSession)
     parts = fingerprint_components(rows, more=more)
     same = rows.groupBy("fp", "k1", "k2", "id").agg(F.count("*").alias("n"))
     order = F.struct(F.col("id").isNull(), "id", "k1", "k2", "n")
@@ -235,6 +236,8 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     name = F.coalesce(F.concat(F.lit("i"), F.col("component_id").cast("string")), F.concat(F.lit("f"), F.col("fp").cast("string")))
     best = same.join(small_side(parts), "fp").groupBy(name.alias("c")).agg(F.min(order).alias("w"))
     winners = cut_lineage(best.select("w.k1", "w.k2", "w.n"))
+    del more, parts, rows, same, best
+    release(docs.sparkSession)
     kept = keyed.join(winners, ["k1", "k2"])
     once = kept.where("n = 1").select(*unboxed(docs.columns))
     if winners.where("n > 1").isEmpty():

@@ -154,3 +154,8 @@ def test_overlap_links_every_pair_at_four_fifths(spark, monkeypatch, hot, part):
     got = {r["doc_id"] for r in simhash.deduplicate(d, overlapping=True).collect()}
     assert got == set(root.values()) and got < {r["doc_id"] for r in simhash.deduplicate(d).collect()}
     assert simhash.deduplicate(d.limit(0), overlapping=True).count() == 0
+
+
+def test_overlapping_sets_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SHARE", 0.2)
+    test_overlap_links_every_pair_at_four_fifths(spark, monkeypatch, 2, 3)
