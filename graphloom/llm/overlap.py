@@ -1,8 +1,8 @@
 """An exact join of texts whose shingle sets overlap, for near copies that fingerprints miss.
 
 Two sets whose Jaccard index is 4/5 or more share a shingle within the first fifth (and
-one more) of either, in any common order; shingles that are rare in a sample come first,
-so few texts meet.  Each key's texts are compared where they meet, by sizes and places:
+one more) of either, in any common order; shingles whose buckets are rare among
+all texts come first, so few texts meet.  Each key's texts are compared where they meet, by sizes and places:
 
 * a key of up to ``HOT`` texts gives the pairs that may still overlap enough;
 * a key of more is gone through in parts: each text goes to the first one, a leader, whose
@@ -33,8 +33,8 @@ from .common import cut_lineage, release, small_side
 
 #: Words of a shingle; the Jaccard index asked for is 4/5.
 WIDTH = 5
-#: Shingles are counted in so many hash buckets over one row in SAMPLE; the counts only order them.
-BUCKETS, SAMPLE = 1 << 16, 16
+#: Shingles of all texts are counted in so many hash buckets; the counts only order them.
+BUCKETS = 1 << 16
 #: Bits of a set's parities.
 PARITIES = 512
 #: Keys of more texts give no pairs at first; a part of such a key has as many texts as PART.
@@ -59,7 +59,7 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """In how many sampled texts of ``docs`` (k1, text) the shingles of each bucket stand."""
+    """How many shingles of the texts of ``docs`` (text) fall into each bucket; a text counts each of its shingles once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, np.int64)
@@ -69,7 +69,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
 
-    texts = docs.where(F.pmod("k1", F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary").alias("t")).where("t is not null")
+    texts = docs.select(F.col("text").cast("binary").alias("t")).where("t is not null")
     counts = np.zeros(BUCKETS, np.int64)
     for r in texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[r["bucket"]] = r["n"]

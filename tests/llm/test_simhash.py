@@ -159,3 +159,14 @@ def test_overlap_links_every_pair_at_four_fifths(spark, monkeypatch, hot, part):
 def test_overlapping_sets_meet_in_parts(spark, monkeypatch):
     monkeypatch.setattr(overlap, "SHARE", 0.2)
     test_overlap_links_every_pair_at_four_fifths(spark, monkeypatch, 2, 3)
+
+
+def test_shingles_are_counted_in_all_texts(spark):
+    texts = ["a b c d e f a b c d e", "A b c d e", "two words", "", None, *[f"x y z {i} v w" for i in range(30)]]
+    want = np.zeros(overlap.BUCKETS, np.int64)
+    for t in texts:
+        w = (t or "").lower().split()
+        for g in {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ():
+            want[xxhash.xxh64_intdigest(g) % overlap.BUCKETS] += 1
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k1 long, text string").repartition(3)
+    assert (overlap.shingle_counts(d) == want).all()
